@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +67,8 @@ def recall(memories: DataFrame, fused: DataFrame, now: int, k: int = 10) -> Data
 
 def facts(memories: DataFrame) -> DataFrame:
     """(id, fact): sentences of more than three characters, cut at . ! ? and line ends."""
-    s = F.explode(F.split("content", r"[.!?\n]"))
-    return memories.select("id", F.trim(s).alias("fact")).where(F.length("fact") > 3).distinct()
+    s = memories.select("id", F.explode(F.split("content", r"[.!?\n]")).alias("s"))
+    return s.select("id", F.trim("s").alias("fact")).where(F.length("fact") > 3).distinct()
 
 
 def entities(memories: DataFrame) -> DataFrame:

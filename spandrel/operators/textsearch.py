@@ -117,7 +117,9 @@ def name_suggest(nodes: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
     t2 = long.withColumn("b", F.substring("f", 1, 3)).join(n.withColumn("b", block), "b").drop("b").where(F.expr("startswith(folded, f) and folded <> f")).withColumn("tier", F.lit(2)).withColumn("distance", F.length("folded") - F.length("f"))
     lens = n.withColumn("b", F.substring("folded", 1, 1)).withColumn("l", F.length("folded"))
     near = p.withColumn("b", F.substring("f", 1, 1)).withColumn("most", F.greatest(F.lit(1), F.floor(F.length("f") / 4))).withColumn("l", F.explode(F.sequence(F.length("f") - F.col("most").cast("int"), F.length("f") + F.col("most").cast("int"))))
-    t3 = near.join(lens, ["b", "l"]).withColumn("distance", osa("f", "folded")).where((F.col("distance") <= F.col("most")) & (F.col("distance") > 0)).withColumn("tier", F.lit(3)).drop("b", "l", "most")
+    # a swap is one edit here and two for Levenshtein, whose JVM form with a bound sorts most pairs out
+    close = near.join(lens, ["b", "l"]).where(F.expr("levenshtein(f, folded, cast(2 * most as int)) >= 0"))
+    t3 = close.withColumn("distance", osa("f", "folded")).where((F.col("distance") <= F.col("most")) & (F.col("distance") > 0)).withColumn("tier", F.lit(3)).drop("b", "l", "most")
     cols = ["probe", "symbol", "name", "tier", "distance"]
     u = t0.select(*cols).unionByName(t1.select(*cols)).unionByName(t2.select(*cols)).unionByName(t3.select(*cols))
     best = u.groupBy("probe", "symbol", "name").agg(F.min(F.struct("tier", "distance")).alias("m")).select("probe", "symbol", "name", "m.*")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spandrel.plans import data_queries
+from spandrel.plans import data_queries, reference_queries
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
-FLAGSHIP = data_queries.p6_found
+QUERIES = data_queries.QUERIES | reference_queries.QUERIES
+ORACLE = data_queries.ORACLE | reference_queries.ORACLE
+FLAGSHIP = reference_queries.blast_radius
