@@ -137,7 +137,8 @@ def resolve_glob(assets: DataFrame, profiles: DataFrame) -> DataFrame:
     p = profiles.select("profile").where(F.col("profile").isNotNull()).distinct()
     rx = F.regexp_replace(F.regexp_replace("profile", r"([.\\+?()\[\]{}^$|])", r"\\$1"), r"\*\*", "\x01")
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(rx, r"\*", "[^.]*"), "%", "[^.]"), "\x01", ".*"), F.lit("$"))
-    p = p.select("profile", rx.alias("rx"), F.col("profile").rlike("[*%]").alias("generic"), F.substring_index("profile", ".", 1).alias("head"), F.length(F.regexp_replace("profile", "[*%]", "")).alias("specific"))
+    p = p.select("profile", rx.alias("rx"), F.col("profile").rlike("[*%]").alias("generic"), F.substring_index("profile", ".", 1).alias("head"), F.struct(
+        F.length(F.regexp_replace("profile", "[*%]", "")).alias("fixed"), (-F.size(F.split("profile", r"\*\*"))).alias("deep"), (-F.size(F.split("profile", r"\*"))).alias("wide")).alias("specific"))
     fixed = ~F.col("head").rlike("[*%]")
     by_head = a.join(p.where(fixed).withColumnRenamed("head", "q"), "q").where(F.expr("asset rlike rx")).select("asset", "profile", "generic", "specific")
     loose = a.join(p.where(~fixed), F.expr("asset rlike rx")).select("asset", "profile", "generic", "specific")
