@@ -59,7 +59,7 @@ Bind <- Target '!'? Ann? ('=' Assign)?
 Target <- Id | Array | Object
 Func <- 'async'? 'function' '*'? Id? TParams? Params Ret? (Block | Overload)
 Params <- '(' (Param (',' Param)* ','?)? ')'
-Param <- Deco* Mod* '...'? Target Opt? Ann? ('=' Assign)?
+Param <- Deco* Mod* '...'? (ThisP | Target) Opt? Ann? ('=' Assign)?
 Class <- Deco* Abstract? 'class' (!'extends' !'implements' Id)? TParams? ('extends' Postfix TArgs?)? Implements? '{' Member* '}'
 Member <- ';' | 'static' Block | Deco* Mod* /(?:static|async|get|set)\b(?!\s*[(=;:?])/* '*'? Name (Opt? TParams? Params Ret? (Block | Overload) | Opt? Ann? ('=' Assign)? End)
 Deco <- '@' Postfix
@@ -95,6 +95,7 @@ Regex <- /\/(?![*\/])(?:[^\\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+\/[a-z]*/
 """
 _JS_TYPES = r"""
 Ann <- !~/(?:)/
+ThisP <- !~/(?:)/
 Ret <- !~/(?:)/
 Opt <- !~/(?:)/
 Mod <- !~/(?:)/
@@ -109,6 +110,7 @@ Overload <- !~/(?:)/
 """
 _TS_TYPES = r"""
 Ann <- ':' Type
+ThisP <- /this\b(?=\s*:)/
 Ret <- ':' (Id 'is' Type | 'asserts' Id ('is' Type)? | Type)
 Opt <- /[?!]/
 Mod <- /(?:public|private|protected|readonly|override|declare|abstract|static)\b(?!\s*[(=;:?,)])/
@@ -177,7 +179,7 @@ Stmt <- /%fast%/ | Block | 'if' 'constexpr'? '(' Header ')' Stmt ('else' Stmt)?
       | 'case' Cond ('...' Cond)? ':' Stmt? | 'default' ':' Stmt? | 'return' (Init | Expr)? ';' | /(?:break|continue)\b/ ';' | 'goto' Id ';' | Id /:(?!:)/ Stmt? | ';' | CppStmt | Expr ';' | Decl ';'
 Header <- (Decl ';')? (Expr | Decl)
 For <- 'for' '(' (RangeFor | (Expr | Decl)? ';' Expr? ';' Expr?) ')' Stmt
-Unary <- /(?:\+\+|--|&&|[-+!~*&])/ Unary | 'sizeof' ('(' TypeName ')' | Unary) | '(' TypeName ')' (Init | Unary) | CppUnary | Postfix
+Unary <- /(?:\+\+|--|&&|[-+!~*&])/ Unary | 'sizeof' ('(' TypeName ')' | Unary) | '(' TypeName ')' (Init Tail* | Unary) | CppUnary | Postfix
 TypeName <- Spec Abstract
 Postfix <- Primary Tail*
 Tail <- '[' Expr ']' | Args | /\.(?!\.)|->/ Path | /\+\+|--/ | BraceInit
@@ -411,7 +413,7 @@ Bound2 <- '-'? Num | Chr | EPath
 Expr <- Attr* (Jump | Closure | Bin (/(?:<<|>>|[-+*\/%&|^])?=(?![=>])/ Expr)?)
 NoStruct <- Jump | Closure | NBin (/(?:<<|>>|[-+*\/%&|^])?=(?![=>])/ NoStruct)?
 Jump <- 'return' Expr? | 'break' Life? Expr? | 'continue' Life?
-Closure <- /(?:static|async|move)\b/* ('||' | '|' (Pat (':' Type)? (',' Pat (':' Type)?)* ','?)? '|') ('->' Type Block | Expr)
+Closure <- /(?:static|async|move)\b/* ('||' | '|' (PatOne (':' Type)? (',' PatOne (':' Type)?)* ','?)? '|') ('->' Type Block | Expr)
 Bin <- (Unary (Op Unary | 'as' Type)*)? RangeOp Bin? | Unary (Op Unary | 'as' Type)* 
 NBin <- NUnary (Op NUnary | 'as' Type)* (RangeOp NBin?)? | RangeOp NBin?
 RangeOp <- /\.\.=?/
@@ -564,8 +566,8 @@ If <- 'if' List 'then' List ('elif' List 'then' List)* ('else' List)? 'fi'
 Loop <- /(?:while|until)\b/ List 'do' List 'done'
 For <- /(?:for|select)\b/ ('((' ~/[^()]*(?:\([^()]*\)[^()]*)*/ '))' | /[^\W\d]\w*/ (Nl* 'in' Word*)?) (';' | Nl)* Nl* 'do' List 'done'
 Case <- 'case' Word Nl* 'in' Nl* ('('? Word ('|' Word)* ')' Nl* List? (/;;&|;;|;&/ Nl* | &~/esac\b/))* 'esac'
-Group <- '{' &~/\s|#/ List '}'
-Test <- '[[' &~/\s/ (Word | /&&|\|\||[()<>!]|=~/ | Nl)+ ']]'
+Group <- /\{(?=\s)/ List '}'
+Test <- /\[\[(?=\s)/ (!~/\]\](?=[\s;&|)]|$)/ (Word | /&&|\|\||[()<>!]|=~/ | Nl))+ ']]'
 Arith <- '((' ~/(?:[^()]|\((?:[^()]|\([^()]*\))*\))*/ '))'
 Simple <- !Reserved (Assign | Redir)* Word? (Arg | Redir)* &~/(?<=[^\s;&|(])|(?<=[^\s;&|(]\s+)/
 Arg <- AssignArr | Word

@@ -58,7 +58,7 @@ TABLES: dict[str, list[tuple]] = {
     ],
     "de": [
         _rx(r"\b(?:z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?ä|i\.\s?d\.\s?R|s\.\s?o|s\.\s?u|v\.\s?a|z\.\s?T|u\.\s?U)\.", r"\s", False),
-        _rx(r"\b(?:z|d|u|i|o|s|v|m)\.", r"\s?\p{Lu}", False),
+        _rx(r"(?<![\w.])(?:z|d|u|i|o|s|v|m)\.", r"\s?\p{Lu}", False),
         _rx(r"\b(?:[Vv]gl|bzw|[Cc]a|Nr|Nrn|Abs|Art|Abb|Bd|Hr|Fr|Dipl|Ing|inkl|exkl|gem|evtl|ggf|sog|Tel|Str|S|Kap|zzgl|bspw|max|min|rd|Mio|Mrd)\.", r"\s", False),
         _rx(r"(?i:\b(?:am|im|vom|zum|bis|den|der|die|das|dem|des|jede[rsnm]?|seit|ab|beim|stand:|und|oder|ein|eine|einer)\s+\d{1,4}\.)", r"\s", False),
         _rx(r"\b\d{1,2}\.", r"\s*(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|\d{1,2}\.)", False),
@@ -199,8 +199,9 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _inside(s: str) -> bytearray:
-    """1 at every place inside a balanced quotation or bracket (its closer not counted)."""
+def _inside(s: str) -> tuple[bytearray, dict[int, int]]:
+    """1 at every place inside a balanced quotation or bracket (its closer not counted), and the
+    opener of every closing bracket."""
     depth = bytearray(len(s))
     stack: list[tuple[str, int]] = []
     spans = []
@@ -224,7 +225,7 @@ def _inside(s: str) -> bytearray:
                 del stack[k:]
     for a, b in spans:
         depth[a:b] = b"\x01" * (b - a)
-    return depth
+    return depth, {b: a for a, b in spans if s[b] in ")）]］】"}
 
 
 def block_sentences(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -235,7 +236,7 @@ def block_sentences(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     if _TAIL.search(s) and _HEAD.match(text, text.rfind("\n", 0, a) + 1):
         s = s[: _TAIL.search(s).start()]
     masked = _CODE.sub(lambda m: _mask(m), s) if "`" in s or "://" in s or "@" in s or "www." in s else s
-    inside = _inside(masked) if _QUOTES.search(masked) else None
+    inside, openers = _inside(masked) if _QUOTES.search(masked) else (None, {})
     rules = None
     start = 0
     for m in _CAND.finditer(masked):
@@ -249,6 +250,8 @@ def block_sentences(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             continue
         if inside and p > 0 and inside[p - 1] and inside[p]:
             continue
+        if openers and any(openers.get(i, -1) > start and masked[start : openers[i]].strip() for i in range(m.start(), p)):
+            continue  # the mark belongs to a bracket within a larger sentence
         if rules is None:
             rules = _CASCADES[language_of(masked)]
         decided = rules[0].match(masked, p)
