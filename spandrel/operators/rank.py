@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.functions.lineage import cut
@@ -202,7 +202,7 @@ def kmeans_cosine(vectors: DataFrame, k: int = 16, iterations: int = 10) -> Data
     return v.select("id", scores(cents)("v")["c"].alias("cluster"))
 
 
-def dbscan_cosine(vectors: DataFrame, eps: float = 0.25, min_points: int = 3, plane_bits: int = 0) -> DataFrame:
+def dbscan_cosine(vectors: DataFrame, eps: float = 0.25, min_points: int = 3) -> DataFrame:
     """(id, cluster): density clusters by cosine distance, named by their least core id; noise is
     left out; a border point joins the least cluster among its core neighbours.
 
@@ -246,3 +246,43 @@ def range_pairs(vectors: DataFrame, least: float) -> DataFrame:
         part = v.mapInPandas(run, f"a {kind}, b {kind}")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 6, levels: int = 2, gamma: float = 1.0, kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:
+    """(symbol, community) by distributed local moving and aggregation.
+
+    In each round half of the nodes (by hash) may move to the neighbouring community with the
+    greatest gain in modularity, ties to the least community; then communities become nodes and
+    the next level starts. Everything is a join and an aggregate: no component is ever gathered.
+    """
+    l = _links(edges, kinds)
+    w = cut(l.toDF("a", "b").unionByName(l.select(F.col("target").alias("a"), F.col("source").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+    two_m = w.agg(F.sum("w")).first()[0]
+    members = nodes.select("symbol").distinct().withColumn("community", F.col("symbol"))
+    if not two_m:
+        return members
+    for _ in range(levels):
+        degree = w.groupBy("a").agg(F.sum("w").alias("k"))
+        state = cut(degree.select("a", "k", F.col("a").alias("c")))
+        for i in range(rounds):
+            total = state.groupBy("c").agg(F.sum("k").alias("t"))
+            inside = w.where(F.col("a") != F.col("b")).join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("inner"))
+            own = state.select("a", "k", F.col("c").alias("now"))
+            offer = inside.join(own, "a").join(total, "c").select("a", "c", "now", (F.col("inner") - gamma * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / two_m).alias("gain"))
+            stay = own.join(total.withColumnRenamed("c", "now"), "now").select("a", F.col("now").alias("c"), "now", (-gamma * F.col("k") * (F.col("t") - F.col("k")) / two_m).alias("gain"))
+            best = offer.unionByName(stay).groupBy("a").agg(F.min(F.struct((-F.round("gain", 9)).alias("n"), (F.col("c") != F.col("now")).alias("moves"), "c")).alias("b"))
+            turn = F.pmod(F.xxhash64("a"), F.lit(2)) == i % 2
+            state = cut(state.join(best, "a").select("a", "k", F.when(turn, F.col("b.c")).otherwise(F.col("c")).alias("c")))
+        members = cut(members.join(state.select(F.col("a").alias("community"), "c"), "community", "left").select("symbol", F.coalesce("c", "community").alias("community")))
+        names = state.select("a", "c")
+        w = cut(w.join(names, "a").join(names.toDF("b", "d"), "b").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w")))
+    return members
+
+
+def community_summary(assignment: DataFrame, nodes: DataFrame, top: int = 3) -> DataFrame:
+    """(community, size, files): the size and the ``top`` files of each community by members."""
+    j = assignment.join(nodes.select("symbol", "file"), "symbol", "left")
+    per = j.groupBy("community", "file").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("community").orderBy(F.desc("n"), "file")
+    files = per.withColumn("r", F.row_number().over(w)).groupBy("community").agg(F.sum("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "file")))), lambda x: x["file"]).alias("files"))
+    return files
