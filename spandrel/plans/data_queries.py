@@ -48,7 +48,8 @@ def contribution(data: str) -> Column:
     def parse(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_contribution(x) for x in s], columns=names)
 
-    return F.pandas_udf(parse, "ok boolean, signature string, doc string, visibility string, declares boolean")(data)
+    # called nondeterministic so that the filter on its result doesn't have it evaluated twice
+    return F.pandas_udf(parse, "ok boolean, signature string, doc string, visibility string, declares boolean").asNondeterministic()(data)
 
 
 def survivors(node_files: DataFrame, *, values: bool, min_names: int) -> DataFrame:
