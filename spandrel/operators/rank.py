@@ -16,9 +16,10 @@ def _links(edges: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return edges.where(F.col("kind").isin(*kinds) & (F.col("source") != F.col("target"))).select("source", "target")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85, seeds: DataFrame | None = None, seed_weight: float = 100.0,
-             kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:
-    """(symbol, score) by power iteration; scores sum to 1.
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, seeds: DataFrame | None = None, seed_weight: float = 100.0,
+             kinds: Sequence[str] = ("calls", "imports"), epsilon: float = 1e-6) -> DataFrame:
+    """(symbol, score) by power iteration until the L1 change is below ``epsilon``, at most
+    ``iterations`` rounds; scores sum to 1. The first vector is uniform, with seeds too.
 
     Self-loops are dropped, parallel edges kept; edges to unknown nodes are ignored; what dangling
     nodes hold goes back through the teleport vector, which favours ``seeds`` if given.
@@ -33,16 +34,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping:
         return ids.withColumn("score", F.lit(0.0))
     links = _links(edges, kinds).join(ids.withColumnRenamed("symbol", "source"), "source", "left_semi").join(ids.withColumnRenamed("symbol", "target"), "target", "left_semi")
     out = links.groupBy("source").agg(F.count("*").alias("out"))
-    base = cut(w.join(out.withColumnRenamed("source", "symbol"), "symbol", "left").select("symbol", (F.col("w") / total).alias("teleport"), "out"))
-    links = cut(links)
-    rank = base.select("symbol", F.col("teleport").alias("rank"))
+    uniform = 1.0 / ids.count()
+    state = cut(w.join(out.withColumnRenamed("source", "symbol"), "symbol", "left").select("symbol", (F.col("w") / total).alias("teleport"), "out", F.lit(uniform).alias("rank"), F.lit(0.0).alias("was")))
+    # laid out by source once, so that only shares and gains are shuffled in a round
+    links = cut(links.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source").sortWithinPartitions("source"))
     for i in range(iterations):
-        state = base.join(rank, "symbol")
-        dangling = state.agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0))).first()[0]
+        now = state.agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change")).first()
+        if i and now.change < epsilon:
+            break
         share = state.where(F.col("out").isNotNull()).select(F.col("symbol").alias("source"), (F.col("rank") / F.col("out")).alias("share"))
         gained = links.join(share, "source").groupBy(F.col("target").alias("symbol")).agg(F.sum("share").alias("gain"))
-        rank = cut(base.join(gained, "symbol", "left").select("symbol", ((1 - damping + damping * dangling) * F.col("teleport") + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")))
-    return rank.withColumnRenamed("rank", "score")
+        fresh = (1 - damping + damping * now.dangling) * F.col("teleport") + damping * F.coalesce("gain", F.lit(0.0))
+        state = cut(state.join(gained, "symbol", "left").select("symbol", "teleport", "out", fresh.alias("rank"), F.col("rank").alias("was")))
+    return state.select("symbol", F.col("rank").alias("score"))
 
 
 def modularity(edges: DataFrame, assignment: DataFrame, gamma: float = 1.0, kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:

@@ -335,7 +335,7 @@ def knowledge_neighbors(spark, d):
 
 # ------------------------------------------------------------------ ranking and clusters
 
-_STEPS = 6
+_STEPS = 6  # of the SQL alone, which stops short of what the query computes
 
 
 def _pagerank_sql() -> str:
@@ -351,7 +351,7 @@ r{i + 1} AS MATERIALIZED (SELECT b.symbol, (0.15 + 0.85 * d) * t + 0.85 * coales
 @query(_pagerank_sql())
 def pagerank(spark, d):
     n = graph_nodes(spark, d)
-    return _scaled(K.pagerank(n, graph_edges(spark, d), iterations=_STEPS), n)
+    return _scaled(K.pagerank(n, graph_edges(spark, d)), n)
 
 
 def _scaled(p: DataFrame, n: DataFrame) -> DataFrame:
@@ -362,13 +362,13 @@ def _scaled(p: DataFrame, n: DataFrame) -> DataFrame:
 @query()
 def pagerank_personalized(spark, d):
     n = graph_nodes(spark, d)
-    return _scaled(K.pagerank(n, graph_edges(spark, d), iterations=_STEPS, seeds=_seed(spark, "nation/3")), n)
+    return _scaled(K.pagerank(n, graph_edges(spark, d), seeds=_seed(spark, "nation/3")), n)
 
 
 @query()
 def hotspots(spark, d):
     n = graph_nodes(spark, d)
-    p = K.pagerank(n, graph_edges(spark, d), iterations=_STEPS)
+    p = K.pagerank(n, graph_edges(spark, d))
     shown = p.join(n.where(~F.col("kind").isin("file", "import")).select("symbol", "name"), "symbol")
     return shown.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "symbol").limit(20)
 
