@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.functions.lineage import cut
+from spandrel.functions.lineage import checkpoint_dir, cut
 
 
 def _links(edges: DataFrame, kinds: Sequence[str]) -> DataFrame:
@@ -89,21 +90,100 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return alone.join(root.withColumnRenamed("u", "symbol"), "symbol", "left").select("symbol", F.coalesce("component", "symbol").alias("component"))
 
 
-def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:
-    """(symbol, community) by synchronous label propagation with deterministic ties.
-
-    The distributed stand-in for sequential local moving: every node takes the label most of its
-    neighbours have (ties: the least label), alternating halves of the nodes so labels settle.
+#: Levels of at most so many links (each in both directions) settle on the driver, node by node.
+FEW_LINKS = 200_000
+
+
+def _settled_in_order(w: DataFrame, two_m: float, gamma: float) -> tuple[DataFrame, int]:
+    """As :func:`_settled`, by sequential moves in the order of ids; for small graphs."""
+    near: dict = {}
+    for r in w.collect():
+        near.setdefault(r.a, {})[r.b] = r.w
+    k = {a: sum(v.values()) for a, v in near.items()}
+    c, total, moves, moved = {a: a for a in near}, dict(k), 0, True
+    while moved:
+        moved = False
+        for a in sorted(near):
+            inner: dict = {}
+            for b, x in near[a].items():
+                if b != a:
+                    inner[c[b]] = inner.get(c[b], 0.0) + x
+            now = best = c[a]
+            total[now] -= k[a]
+            most = inner.get(now, 0.0) - gamma * k[a] * total[now] / two_m
+            for to in sorted(inner):
+                gain = inner[to] - gamma * k[a] * total[to] / two_m
+                if to != now and gain > most + 1e-12:
+                    most, best = gain, to
+            total[best] += k[a]
+            if best != now:
+                c[a], moved, moves = best, True, moves + 1
+    return w.sparkSession.createDataFrame([(a, k[a], c[a]) for a in near], w.select("a", F.col("w").alias("k"), F.col("a").alias("c")).schema), moves
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a file in the checkpoint folder: a checkpoint hands on what the plan says of itself,
+    which in a loop of many joins grows until planning stalls."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _settled(w: DataFrame, two_m: float, gamma: float, rounds: int, few: int) -> tuple[DataFrame, int]:
+    """((a, k, c), moves): the nodes of ``w`` (a, b, w), each first alone, moved to neighbouring
+    communities until none gains from a move. Gain is the weight to a community's nodes less
+    ``gamma`` times degree times its total degree over ``two_m``.
+
+    In each round a coin per community decides whether nodes may leave or join it, so what a mover
+    counts on stays; where many join or leave one community, those of greatest gain go first and
+    each must still gain after them. The sum over all nodes so grows in every round with a move, and
+    the loop ends; ``rounds`` is a safeguard that raises. Ties go to the least community.
     """
-    l = _links(edges, kinds)
-    both = cut(l.toDF("a", "b").unionByName(l.select(F.col("target").alias("a"), F.col("source").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("w")))
-    labels = cut(nodes.select("symbol").distinct().withColumn("community", F.col("symbol")))
+    if w.count() <= few:
+        return _settled_in_order(w, two_m, gamma)
+    spark = w.sparkSession
+    state = _stored(w.groupBy("a").agg(F.sum("w").alias("k")).select("a", "k", F.col("a").alias("c")))
+    # laid out by neighbour once, so that only communities and their weights are shuffled in a round
+    links = _stored(w.where(F.col("a") != F.col("b")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b").sortWithinPartitions("b"))
+    moves = 0
     for i in range(rounds):
-        votes = both.join(labels.toDF("b", "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("n"), "community")).alias("x")).select(F.col("a").alias("symbol"), F.col("x.community").alias("fresh"))
-        turn = F.pmod(F.xxhash64("symbol"), F.lit(2)) == i % 2
-        labels = cut(labels.join(best, "symbol", "left").select("symbol", F.when(turn, F.coalesce("fresh", "community")).otherwise(F.col("community")).alias("community")))
-    return labels
+        total = state.groupBy("c").agg(F.sum("k").alias("t"))
+        near = links.join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("inner"))
+        own = state.join(total, "c").select("a", "k", F.col("c").alias("now"), (-gamma * F.col("k") * (F.col("t") - F.col("k")) / two_m).alias("alone"))
+        offer = near.join(own, "a").join(total, "c")
+        here = F.col("c") == F.col("now")
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(i)), F.lit(2))
+        value = F.col("inner") - gamma * F.col("k") * F.col("t") / two_m
+        best = offer.groupBy("a", "k", "now", "alone").agg(
+            F.coalesce(F.max(F.when(here, F.col("inner"))), F.lit(0.0)).alias("held"), F.max(F.when(~here, value)).alias("most"),
+            F.min(F.when(~here & (coin("now") == 0) & (coin("c") == 1), F.struct((-value).alias("n"), "c"))).alias("x"))
+        stay = F.col("held") + F.col("alone")
+        best = _stored(best.where(F.col("most") > stay + 1e-12).select("a", "k", "now", F.col("x.c").alias("c"), (-F.col("x.n") - stay).alias("gain")))
+        if best.isEmpty():
+            return state, moves
+        go = best.where(F.col("c").isNotNull() & (F.col("gain") > 1e-12))
+        if gamma:
+            before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("gain"), "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            go = go.withColumn("j", before("c")).withColumn("l", before("now")).where(F.col("gain") - gamma * F.col("k") * (F.col("j") + F.col("l")) / two_m > 1e-12)
+        go = _stored(go.select("a", F.col("c").alias("to")))
+        moved = go.count()
+        if moved:
+            moves += moved
+            state = _stored(state.join(go, "a", "left").select("a", "k", F.coalesce("to", "c").alias("c")))
+    raise RuntimeError(f"nodes still move after {rounds} rounds")
+
+
+def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1_000, kinds: Sequence[str] = ("calls", "imports"), few: int = FEW_LINKS) -> DataFrame:
+    """(symbol, community) by label propagation, run until no node has a label that more of its
+    neighbours bear than its own (ties: its own, then the least label).
+
+    The distributed stand-in for sequential local moving; see :func:`_settled`. It raises where
+    ``rounds`` don't suffice.
+    """
+    l = _links(edges, kinds)
+    both = cut(l.toDF("a", "b").unionByName(l.select(F.col("target").alias("a"), F.col("source").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+    state, _ = _settled(cut(both), 1.0, 0.0, rounds, few)
+    return nodes.select("symbol").distinct().join(state.select(F.col("a").alias("symbol"), "c"), "symbol", "left").select("symbol", F.coalesce("c", "symbol").alias("community"))
 
 
 def cosine(a, b):
@@ -252,12 +332,13 @@ def range_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return out if out is not None else vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 6, levels: int = 2, gamma: float = 1.0, kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 1_000, levels: int = 50, gamma: float = 1.0, kinds: Sequence[str] = ("calls", "imports"), few: int = FEW_LINKS) -> DataFrame:
     """(symbol, community) by distributed local moving and aggregation.
 
-    In each round half of the nodes (by hash) may move to the neighbouring community with the
-    greatest gain in modularity, ties to the least community; then communities become nodes and
-    the next level starts. Everything is a join and an aggregate: no component is ever gathered.
+    Nodes move by :func:`_settled` until none gains in modularity; then communities become nodes of
+    the next level, until a level merges nothing. ``rounds`` a level and ``levels`` are safeguards
+    that raise. Levels of more than ``few`` links are joins and aggregates: no component of them is
+    gathered; smaller ones settle on the driver in the order of ids.
     """
     l = _links(edges, kinds)
     w = cut(l.toDF("a", "b").unionByName(l.select(F.col("target").alias("a"), F.col("source").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
@@ -266,21 +347,13 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 6, levels: int = 2
     if not two_m:
         return members
     for _ in range(levels):
-        degree = w.groupBy("a").agg(F.sum("w").alias("k"))
-        state = cut(degree.select("a", "k", F.col("a").alias("c")))
-        for i in range(rounds):
-            total = state.groupBy("c").agg(F.sum("k").alias("t"))
-            inside = w.where(F.col("a") != F.col("b")).join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("inner"))
-            own = state.select("a", "k", F.col("c").alias("now"))
-            offer = inside.join(own, "a").join(total, "c").select("a", "c", "now", (F.col("inner") - gamma * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / two_m).alias("gain"))
-            stay = own.join(total.withColumnRenamed("c", "now"), "now").select("a", F.col("now").alias("c"), "now", (-gamma * F.col("k") * (F.col("t") - F.col("k")) / two_m).alias("gain"))
-            best = offer.unionByName(stay).groupBy("a").agg(F.min(F.struct((-F.round("gain", 9)).alias("n"), (F.col("c") != F.col("now")).alias("moves"), "c")).alias("b"))
-            turn = F.pmod(F.xxhash64("a"), F.lit(2)) == i % 2
-            state = cut(state.join(best, "a").select("a", "k", F.when(turn, F.col("b.c")).otherwise(F.col("c")).alias("c")))
+        state, moves = _settled(w, two_m, gamma, rounds, few)
+        if not moves:
+            return members
         members = cut(members.join(state.select(F.col("a").alias("community"), "c"), "community", "left").select("symbol", F.coalesce("c", "community").alias("community")))
         names = state.select("a", "c")
         w = cut(w.join(names, "a").join(names.toDF("b", "d"), "b").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w")))
-    return members
+    raise RuntimeError(f"communities still merge after {levels} levels")
 
 
 def community_summary(assignment: DataFrame, nodes: DataFrame, top: int = 3) -> DataFrame:

@@ -128,7 +128,7 @@ def correspond(spark, d):
 
 @query()
 def louvain(spark, d):
-    return K.louvain(graph_nodes(spark, d), graph_edges(spark, d), rounds=4, levels=1)
+    return K.louvain(graph_nodes(spark, d), graph_edges(spark, d))
 
 
 @query(f"{GRAPH_SQL}, p AS (SELECT kind AS community, file, count(*) AS n FROM n GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, file) AS r FROM p) SELECT community, sum(n)::BIGINT AS size, list(file ORDER BY r) FILTER (r <= 3) AS files FROM q GROUP BY 1")

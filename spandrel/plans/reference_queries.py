@@ -375,7 +375,7 @@ def hotspots(spark, d):
 
 @query()
 def communities(spark, d):
-    return K.label_communities(graph_nodes(spark, d), graph_edges(spark, d), rounds=4)
+    return K.label_communities(graph_nodes(spark, d), graph_edges(spark, d))
 
 
 @query(GRAPH_SQL + """, u AS (SELECT symbol AS a, symbol AS b FROM n UNION SELECT source, target FROM e UNION SELECT target, source FROM e),

@@ -66,3 +66,52 @@ def test_pagerank_queries_run_thirty_rounds_or_settle(spark):
     want, _ = power(names, pairs)
     best = sorted(want, key=lambda s: (-round(want[s], 9), s))[:20]
     assert [x.symbol for x in entry.queries()["hotspots"](spark, DATA).collect()] == best
+
+
+def merge_gains(pairs, of):
+    """The greatest gain in modularity, times the number of edges, of merging two communities."""
+    total, between = {}, {}
+    for a, b in pairs:
+        for x in (a, b):
+            total[of[x]] = total.get(of[x], 0) + 1
+        if of[a] != of[b]:
+            key = tuple(sorted((of[a], of[b])))
+            between[key] = between.get(key, 0) + 1
+    return max((w - total[a] * total[b] / (2 * len(pairs)) for (a, b), w in between.items()), default=0.0)
+
+
+def outvoted(pairs, of):
+    """Nodes with a label that more of their neighbours bear than their own."""
+    votes = {}
+    for a, b in pairs + [(b, a) for a, b in pairs]:
+        v = votes.setdefault(a, {})
+        v[of[b]] = v.get(of[b], 0) + 1
+    return [a for a, v in votes.items() if max(v.values()) > v.get(of[a], 0)]
+
+
+def test_communities_settle_on_a_long_path(spark):
+    names = [f"n{i:03}" for i in range(150)]
+    pairs = list(zip(names, names[1:]))
+    df, nodes = edges(spark, *pairs), ids(spark, *names, "alone")
+    of = dict(rows(K.louvain(nodes, df)))
+    assert of["alone"] == "alone" and merge_gains(pairs, of) <= 1e-9
+    of = dict(rows(K.label_communities(nodes, df)))
+    assert of["alone"] == "alone" and outvoted(pairs, of) == []
+    with pytest.raises(RuntimeError):
+        K.louvain(nodes, df, levels=1)
+
+
+def test_distributed_moves_settle(spark):
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(23)]
+    df, nodes = edges(spark, *pairs), ids(spark, *(f"n{i:02}" for i in range(24)))
+    assert merge_gains(pairs, dict(rows(K.louvain(nodes, df, few=0)))) <= 1e-9
+    assert outvoted(pairs, dict(rows(K.label_communities(nodes, df, few=0)))) == []
+    with pytest.raises(RuntimeError):
+        K.label_communities(nodes, df, rounds=1, few=0)
+
+
+@tables
+def test_community_queries_settle(spark):
+    pairs = [(x.source, x.target) for x in graph_edges(spark, DATA).where(F.col("kind").isin("calls", "imports")).collect()]
+    assert merge_gains(pairs, dict(rows(entry.queries()["louvain"](spark, DATA)))) <= 1e-9
+    assert outvoted(pairs, dict(rows(entry.queries()["communities"](spark, DATA)))) == []
