@@ -58,8 +58,8 @@ SELECT path, name, count(*) AS n FROM (
  SELECT path, unnest(regexp_extract_all(blob, '(?m)^func (\\w+)\\(', 1)) FROM tx WHERE ends_with(path, '.go') UNION ALL
  SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*def (\\w+)', 1)) FROM tx WHERE ends_with(path, '.rb')) GROUP BY ALL""")
 def source_definitions(spark, d):
-    """Definitions in every stored text of four languages, found by pattern."""
-    lang = F.create_map(*map(F.lit, ("py", "python", "rs", "rust", "go", "go", "rb", "ruby")))[F.regexp_extract("path", r"\.(\w+)$", 1)]
+    """Definitions in every stored text of eight languages, found by pattern."""
+    lang = F.create_map(*map(F.lit, ("py", "python", "rs", "rust", "go", "go", "rb", "ruby", "js", "javascript", "ts", "typescript", "java", "java", "sh", "shell")))[F.regexp_extract("path", r"\.(\w+)$", 1)]
     return X.definitions(texts(spark, d).withColumn("language", lang)).groupBy("path", "name").agg(F.count("*").alias("n"))
 
 

@@ -115,3 +115,20 @@ def test_community_queries_settle(spark):
     pairs = [(x.source, x.target) for x in graph_edges(spark, DATA).where(F.col("kind").isin("calls", "imports")).collect()]
     assert merge_gains(pairs, dict(rows(entry.queries()["louvain"](spark, DATA)))) <= 1e-9
     assert outvoted(pairs, dict(rows(entry.queries()["communities"](spark, DATA)))) == []
+
+
+@tables
+def test_source_definitions_cover_every_language_with_a_pattern(spark):
+    import re
+
+    from spandrel.operators.extract import DEFINITIONS
+    from spandrel.plans.more_queries import texts
+
+    by = {"py": "python", "rs": "rust", "go": "go", "rb": "ruby", "js": "javascript", "ts": "typescript", "java": "java", "sh": "shell"}
+    want = {}
+    for t in texts(spark, DATA).collect():
+        language = by.get(t.path.rpartition(".")[2])
+        for name in re.findall(DEFINITIONS[language], t.text, re.A) if language and t.text else ():
+            want[t.path, name] = want.get((t.path, name), 0) + 1
+    got = {(x.path, x.name): x.n for x in entry.queries()["source_definitions"](spark, DATA).collect()}
+    assert got == want and {"js", "ts", "java", "sh"} <= {p.rpartition(".")[2] for p, _ in want}
