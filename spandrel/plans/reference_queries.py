@@ -540,8 +540,7 @@ SELECT probe, name, round(CASE WHEN probe = name THEN 1 ELSE len(list_intersect(
 WHERE probe = name OR len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) >= 0.7""")
 def fuzzy_candidates(spark, d):
     n = code_nodes(spark, d)
-    probes = n.where((F.col("kind") == "method") & (F.col("language") == "java")).select(F.col("name").alias("probe"))
-    return T.fuzzy_candidates(n.select("name"), probes, 0.7).withColumn("score", F.round("score", 6))
+    return T.fuzzy_candidates(n.select("name"), n.select(F.col("name").alias("probe"))).withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -132,3 +132,13 @@ def test_source_definitions_cover_every_language_with_a_pattern(spark):
             want[t.path, name] = want.get((t.path, name), 0) + 1
     got = {(x.path, x.name): x.n for x in entry.queries()["source_definitions"](spark, DATA).collect()}
     assert got == want and {"js", "ts", "java", "sh"} <= {p.rpartition(".")[2] for p, _ in want}
+
+
+@tables
+def test_fuzzy_candidates_probe_with_every_name(spark):
+    import re
+
+    names = {re.sub(r"[\W_]+", " ", x.name.lower()).strip() for x in entry.queries()["scan_nodes"](spark, DATA).where("name is not null").collect()} - {""}
+    grams = {n: {f"  {n} "[i : i + 3] for i in range(len(n) + 1)} for n in names}
+    want = {(a, b) for a in names for b in names if len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b]) - 1e-12}
+    assert {(x.probe, x.name) for x in entry.queries()["fuzzy_candidates"](spark, DATA).collect()} == want
