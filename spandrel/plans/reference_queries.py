@@ -398,7 +398,7 @@ def vector_nearest(spark, d):
 
 @query()
 def kmeans_cosine(spark, d):
-    return K.kmeans_cosine(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k=10, iterations=5)
+    return K.kmeans_cosine(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k=16, iterations=50)
 
 
 @query()

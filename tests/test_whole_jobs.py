@@ -142,3 +142,15 @@ def test_fuzzy_candidates_probe_with_every_name(spark):
     grams = {n: {f"  {n} "[i : i + 3] for i in range(len(n) + 1)} for n in names}
     want = {(a, b) for a in names for b in names if len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b]) - 1e-12}
     assert {(x.probe, x.name) for x in entry.queries()["fuzzy_candidates"](spark, DATA).collect()} == want
+
+
+@tables
+def test_kmeans_query_reaches_its_fixed_point(spark):
+    import numpy as np
+
+    v = {x.vec_id: np.array(x.embedding, float) for x in spark.read.parquet(f"{DATA}/embeddings.parquet").where("embedding is not null").collect()}
+    of = {x.id: x.cluster for x in entry.queries()["kmeans_cosine"](spark, DATA).collect()}
+    assert set(of.values()) == set(range(16))
+    m = np.array([np.mean([v[i] for i in of if of[i] == c], axis=0) for c in range(16)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert all(of[i] == int(np.round(m @ (x / np.linalg.norm(x)), 12).argmax()) for i, x in v.items())
