@@ -34,17 +34,20 @@ def kind_match(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.array_contains(near, a) & F.array_contains(near, b), 0.8).otherwise(0.0)
 
 
-def correspond(left: DataFrame, right: DataFrame, k: int = 20, least: float = 0.35) -> DataFrame:
+def correspond(left: DataFrame, right: DataFrame, k: int = 20, least: float = 0.35, pool: int = 20) -> DataFrame:
     """(symbol, match, score, rank) between two graphs' nodes (symbol, name, kind, signature).
 
-    Distinct names meet by BM25 over their tokens, the best ``k`` per name; only then are symbols
+    Distinct names meet by BM25 over their tokens, the best ``pool`` per name and all that tie with
+    the last of them; only then are symbols
     looked at: half token overlap, a quarter signature, the rest kind and number of parameters.
     """
     l = left.where(F.col("name").isNotNull()).dropDuplicates(["symbol"])
     r = right.where(F.col("name").isNotNull()).dropDuplicates(["symbol"])
     index = r.select(F.col("name").alias("id")).distinct().select("id", F.size(name_tokens("id")).alias("len"), F.explode(name_tokens("id")).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     queries = l.select(F.col("name").alias("query_id")).distinct().select("query_id", F.explode(name_tokens("query_id")).alias("term"))
-    names = T.bm25(index, queries, k).select(F.col("query_id").alias("ln"), F.col("id").alias("rn"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    met = T.bm25(index, queries, None).withColumn("place", F.rank().over(best)).where(F.col("place") <= pool)
+    names = met.select(F.col("query_id").alias("ln"), F.col("id").alias("rn"))
     a = l.select(F.col("symbol"), F.col("name").alias("ln"), F.col("kind").alias("lk"), F.col("signature").alias("ls"))
     b = r.select(F.col("symbol").alias("match"), F.col("name").alias("rn"), F.col("kind").alias("rk"), F.col("signature").alias("rs"))
     j = a.join(names, "ln").join(b, "rn").withColumn("km", kind_match(F.col("lk"), F.col("rk"))).where(F.col("km") > 0)

@@ -23,11 +23,12 @@ def postings(docs: DataFrame) -> DataFrame:
     return t.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(query_id, id, score, rank) of ``queries`` (query_id, term), Okapi BM25.
 
     Only postings of queried terms are joined with collection statistics, which are one row; score
-    ties go to the smaller id. Rows without any queried term aren't listed.
+    ties go to the smaller id. Rows without any queried term aren't listed. All others are, unranked,
+    where ``k`` is None.
     """
     stats = index.select("id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     q = queries.distinct()
@@ -37,7 +38,7 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     w = used.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("w"))
     s = q.join(w, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(s, k)
+    return s if k is None else top_k(s, k)
 
 
 def rarest_terms(index: DataFrame, ids: DataFrame, n: int = 8) -> DataFrame:

@@ -123,7 +123,7 @@ def flow_merge(spark, d):
 def correspond(spark, d):
     """Python functions and the Rust ones they may correspond to."""
     n = code_nodes(spark, d).where(F.col("kind") != "file")
-    return N.correspond(n.where(F.col("language") == "python"), n.where(F.col("language") == "rust"), k=5)
+    return N.correspond(n.where(F.col("language") == "python"), n.where(F.col("language") == "rust"))
 
 
 @query()

@@ -154,3 +154,19 @@ def test_kmeans_query_reaches_its_fixed_point(spark):
     m = np.array([np.mean([v[i] for i in of if of[i] == c], axis=0) for c in range(16)])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     assert all(of[i] == int(np.round(m @ (x / np.linalg.norm(x)), 12).argmax()) for i, x in v.items())
+
+
+def test_correspond_scores_names_tied_at_the_edge_of_the_pool(spark):
+    from spandrel.operators import knowledge as N
+
+    s = "symbol string, name string, kind string, signature string"
+    left = spark.createDataFrame([("l", "load_chunk", "function", "load_chunk(path, size)")], s)
+    right = spark.createDataFrame([(f"r{i:02}", f"load_a{i:02}", "function", "f()") for i in range(30)] + [("z", "load_zz", "function", "load_chunk(path, size)")], s)
+    got = N.correspond(left, right, k=1).collect()
+    assert [(x.match, x["rank"]) for x in got] == [("z", 1)]
+
+
+@tables
+def test_correspond_query_gives_up_to_twenty(spark):
+    n = entry.queries()["correspond"](spark, DATA.replace("0.001", "0.01")).groupBy("symbol").count().agg(F.max("count")).first()[0]
+    assert 5 < n <= 20
