@@ -223,25 +223,28 @@ def vector_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataF
 
 
 def _nearest_in(block: pd.DataFrame, k: int):
-    dim = max(map(len, block["v"]))
-    good = block[[len(v) == dim for v in block["v"]]]
-    qm = np.array(good["v"].tolist(), np.float64).reshape(len(good), dim)
-    qn = np.linalg.norm(qm, axis=1)
-    qm, ids = qm[qn > 0] / qn[qn > 0, None], good["query_id"].to_numpy()[qn > 0]
+    """Neighbours for a block of queries; only vectors of a query's own length are compared."""
+    groups = {}
+    for dim, good in block.groupby(block["v"].map(len)):
+        qm = np.array(good["v"].tolist(), np.float64).reshape(len(good), dim)
+        qn = np.linalg.norm(qm, axis=1)
+        if (qn > 0).any():
+            groups[dim] = qm[qn > 0] / qn[qn > 0, None], good["query_id"].to_numpy()[qn > 0]
 
     def run(frames):
-        for f in frames:
-            f = f[[len(v) == dim for v in f["v"]]]
-            if f.empty or not len(ids):
-                continue
-            m = np.array(f["v"].tolist(), np.float64)
-            n = np.linalg.norm(m, axis=1)
-            m, own = m[n > 0] / n[n > 0, None], f["id"].to_numpy()[n > 0]
-            s = np.round(qm @ m.T, 12)
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            cols = order.ravel()
-            yield pd.DataFrame({"query_id": ids[rows], "id": own[cols], "score": s[rows, cols]})
+        for whole in frames:
+            for dim, (qm, ids) in groups.items():
+                f = whole[[len(v) == dim for v in whole["v"]]]
+                if f.empty:
+                    continue
+                m = np.array(f["v"].tolist(), np.float64)
+                n = np.linalg.norm(m, axis=1)
+                m, own = m[n > 0] / n[n > 0, None], f["id"].to_numpy()[n > 0]
+                s = np.round(qm @ m.T, 12)
+                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(ids)), order.shape[1])
+                cols = order.ravel()
+                yield pd.DataFrame({"query_id": ids[rows], "id": own[cols], "score": s[rows, cols]})
 
     return run
 

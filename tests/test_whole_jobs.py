@@ -170,3 +170,9 @@ def test_correspond_scores_names_tied_at_the_edge_of_the_pool(spark):
 def test_correspond_query_gives_up_to_twenty(spark):
     n = entry.queries()["correspond"](spark, DATA.replace("0.001", "0.01")).groupBy("symbol").count().agg(F.max("count")).first()[0]
     assert 5 < n <= 20
+
+
+def test_a_longer_query_vector_leaves_the_others_their_neighbours(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0])], "id bigint, v array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0, 0.0]), (5, [])], "query_id bigint, v array<double>")
+    assert [(x.query_id, x.id) for x in K.vector_nearest(v, q).orderBy("query_id", "rank").collect()] == [(1, 1), (1, 2), (3, 3)]
