@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions.jsonudf import canonical_json
-from spandrel.operators.incremental import ManifestStore, changed_by_run
+from spandrel.operators.incremental import CommitConflict, ManifestStore, changed_by_run
 from spandrel.operators.references import estate_references, estate_targets, orphan_references
 from spandrel.operators.snapshots import source_changes
 from spandrel.plans.data_queries import _filled, survivors
@@ -62,23 +62,65 @@ def test_changed_by_run_on_empty_tables(spark):
     assert rows(changed_by_run(some, run)) == [(1, "a")]
 
 
+def listing_of(spark, *x):
+    return spark.createDataFrame(list(x), "path string, size bigint, checksum string")
+
+
 def test_manifest_store_survives_failures(spark, tmp_path):
     store = ManifestStore(spark, str(tmp_path / "m"))
-    listing = lambda *x: spark.createDataFrame(list(x), "path string, size bigint, checksum string")
-    assert store.run("b1", listing(("a", 1, "x"), ("b", None, None)), lambda df: df)
-    assert not store.run("b1", listing(("c", 1, "z")), lambda df: df)  # a retry of a committed batch is nothing
+    assert store.read() is None and store.manifest().count() == 0
+    assert store.run("b1", listing_of(spark, ("a", 1, "x"), ("b", None, None)), lambda df: df)
+    assert not store.run("b1", listing_of(spark, ("c", 1, "z")), lambda df: df)  # a retry of a committed batch is nothing
 
     def crash(df):
+        df.write.parquet(str(tmp_path / "half"))
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        store.run("b2", listing(("a", 1, "x"), ("b", None, None), ("c", 2, "y")), crash)
-    assert store.committed() == ["b1"]
-    assert store.run("b2", listing(("a", 1, "x2"), ("b", None, None), ("c", 2, "y")), lambda df: df)
+        store.run("b2", listing_of(spark, ("a", 1, "x"), ("b", None, None), ("c", 2, "y")), crash)
+    assert store.committed() == ["b1"] and store.clean(0) == 1
+    assert store.run("b2", listing_of(spark, ("a", 1, "x2"), ("b", None, None), ("c", 2, "y")), lambda df: df)
     assert rows(store.read().select("path", "checksum")) == [("a", "x"), ("a", "x2"), ("b", None), ("c", "y")]
-    assert rows(store.pending(listing(("a", 1, "x2"), ("b", None, None), ("d", 1, "q"))).select("path")) == [("d",)]
+    assert rows(store.pending(listing_of(spark, ("a", 1, "x2"), ("b", None, None), ("d", 1, "q"))).select("path")) == [("d",)]
+    with pytest.raises(ValueError):
+        store.run("../x", listing_of(spark), lambda df: df)
     with pytest.raises(ValueError):
-        store.run("../x", listing(), lambda df: df)
+        store.replay("h", listing_of(spark).selectExpr("*", "1L as batch"), lambda df: df)
+
+
+@pytest.mark.parametrize("other", ["b2", "b1"])
+def test_overlapping_batches_take_every_record_once(spark, tmp_path, other):
+    """A second run, of another or the same name, starts and commits inside the first one's work."""
+    store, two = ManifestStore(spark, str(tmp_path / "m")), ManifestStore(spark, str(tmp_path / "m"))
+    files = listing_of(spark, ("a", 1, "x"), ("b", 1, "y"))
+    inner = []
+
+    def process(df):
+        if not inner:
+            inner.append(two.run(other, files, lambda d: d))
+        return df
+
+    won = store.run("b1", files, process)
+    assert inner == [True] and won == (other != "b1")
+    assert rows(store.read().select("path")) == [("a",), ("b",)] and store.committed()[0] == other
+    assert rows(store.manifest().select("path", "batch")) == [("a", 1), ("b", 1)]
+
+
+def test_runs_in_threads_and_compaction(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [ManifestStore(spark, str(tmp_path / "m"), compact_every=2) for _ in range(4)]
+    files = listing_of(spark, *((f"p{i}", i, str(i)) for i in range(6)))
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(lambda i: stores[i].run(f"t{i}", files, lambda d: d), range(4)))
+    store = stores[0]
+    assert sorted(x.path for x in store.read().collect()) == [f"p{i}" for i in range(6)]
+    for i in range(9, 12):  # names needn't sort in the order of their runs
+        assert store.run(f"b{i}", listing_of(spark, ("p0", i, "n")), lambda d: d)
+    assert rows(store.manifest().where("path = 'p0'").select("size")) == [(11,)]
+    assert len(store.committed()) == 7 and store.pending(listing_of(spark, ("p0", 11, "n"))).count() == 0
+    with pytest.raises(CommitConflict):
+        store.run("z", files, lambda d: (stores[1].run(f"w{len(store.committed())}", listing_of(spark), lambda x: x), d)[1], attempts=2)
 
 
 NF = "symbol string, file string, is_def int, data string, extracted_at timestamp_ntz, tie string, mask string"
