@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spandrel.llm import contributions
 from spandrel.llm.handwritten import not_handwritten
 from spandrel.llm.leakage import leaked_items
 from spandrel.llm.parsing import failure_rates, unparsable
@@ -41,5 +42,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_rates": p4_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_rates": p4_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found} | contributions.QUERIES
+ORACLE: dict[str, str] = contributions.ORACLE
