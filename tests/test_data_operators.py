@@ -5,13 +5,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from spandrel.functions.jsonudf import canonical_json
 from spandrel.operators.incremental import CommitConflict, ManifestStore, changed_by_run
 from spandrel.operators.references import estate_references, estate_targets, orphan_references
 from spandrel.operators.snapshots import source_changes
-from spandrel.plans.data_queries import _filled, survivors
 from tests.conftest import rows
 
 T0 = datetime(2025, 1, 1)
@@ -123,44 +121,6 @@ def test_runs_in_threads_and_compaction(spark, tmp_path):
         store.run("z", files, lambda d: (stores[1].run(f"w{len(store.committed())}", listing_of(spark), lambda x: x), d)[1], attempts=2)
 
 
-NF = "symbol string, file string, is_def int, data string, extracted_at timestamp_ntz, tie string, mask string"
-
-
-def test_survivors_against_brute_force(spark):
-    r = random.Random(5)
-    table = []
-    for i in range(400):
-        d = {"signature": r.choice(["f()", " ", None, "TODO", "g(x)"]), "doc": r.choice(["-", "N/A", "says", "t.b.d.", 5]), "metadata": r.choice([{}, None, {"visibility": "public", "is_declaration": r.choice([True, "true", 1, 0, False])}])}
-        text = r.choice([json.dumps(d)] * 6 + ["{", None, "", "nan", "[1]"])
-        table.append(("hot" if r.random() < 0.3 else f"s{r.randrange(30)}", r.choice(["a", "./b", "c//d", "b"]), r.choice([0, 1, None]), text, T0 + timedelta(days=r.randrange(6)), "t", "m"))
-    table.append((None, "a", 1, "{}", T0, "t", "m"))
-    best = {}
-    files = {}
-    for s, f, is_def, text, at, *_ in table:
-        f = f.replace("//", "/").removeprefix("./")
-        try:
-            d = json.loads(text, parse_constant=lambda x: 1 / 0)
-        except (ValueError, TypeError, ZeroDivisionError):
-            continue
-        if s is None:
-            continue
-        files.setdefault(s, set()).add(f)
-        d = d if isinstance(d, dict) else {}
-        m = d.get("metadata") or {}
-        declares = m.get("is_declaration") in (True, "true", 1)
-        trust = (is_def == 1) if is_def is not None else not declares
-        for name, v in (("signature", d.get("signature")), ("doc", d.get("doc")), ("visibility", m.get("visibility"))):
-            if _filled(v) is not None:
-                key = (not trust, -at.timestamp(), f)
-                if (s, name) not in best or key < best[s, name]:
-                    best[s, name] = key
-    want = sorted((s, n, k[2]) for (s, n), k in best.items() if len(files[s]) > 1)
-    got = survivors(spark.createDataFrame(table, NF), values=False, min_names=2)
-    flat = got.select("symbol", F.explode(F.array(*(F.struct(F.lit(f).alias("n"), F.col(f"{f}.source").alias("s")) for f in ("signature", "doc", "visibility")))).alias("x")).select("symbol", "x.n", "x.s").where("s is not null")
-    assert rows(flat) == want
-    assert survivors(spark.createDataFrame([], NF), values=True, min_names=1).count() == 0
-
-
 def test_canonical_json_is_by_value():
     assert canonical_json('{"b": 1.0, "a": [1, 2]}') == canonical_json('{"a":[1e0,2],\n"b":1}')
     assert canonical_json('"\\u00e9"') == canonical_json('"é"')
