@@ -2,9 +2,11 @@
 
 A reference is a composite key (store, id, epoch) whose parts may be absent. References are
 grouped by which parts are present (their null mask), and each group is anti-joined on just
-these parts against the live records. What is left over is missing, deleted, stale or late, told
-apart by the target's one summary row. The target side is folded to one row per key before the
-join, so a hot target never multiplies rows; AQE splits the reference side of a hot key.
+these parts against the live records: these come once per mask, with the other parts blanked, so
+one join serves all masks. What is left over is missing, deleted, stale or late, told apart by the
+target's one summary row. Targets are folded to one row per key before anything else, so a hot
+target never multiplies rows; the fold is written to the checkpoint folder, so each table is read
+once, and AQE splits the reference side of a hot key.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.functions.lineage import stored
 from spandrel.functions.text import blank_to_null
 
 
@@ -21,15 +24,12 @@ def fold_targets(*stores: tuple[str, DataFrame]) -> DataFrame:
     Each store's frame is (id, epoch, since, gone_at). Repeated rows: a record is gone only if
     every row says so, all its epochs count as current, and it exists since the earliest time.
     """
-    parts = []
+    rows = None
     for store, df in stores:
-        parts.append(df.where(F.col("id").isNotNull()).groupBy("id").agg(
-            F.bool_and(F.col("gone_at").isNotNull()).alias("gone"), F.array_distinct(F.collect_set("epoch")).alias("epochs"),
-            F.min("since").alias("since")).select(F.lit(store).alias("store"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        part = df.where(F.col("id").isNotNull()).select(F.lit(store).alias("store"), "id", "epoch", "since", "gone_at")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("store", "id").agg(
+        F.bool_and(F.col("gone_at").isNotNull()).alias("gone"), F.collect_set("epoch").alias("epochs"), F.min("since").alias("since"))
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -41,22 +41,18 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     missing, deleted, stale, late. A null time on either side is never late.
     """
     r = refs.where(F.col("id").isNotNull() & F.col("store").isNotNull()).select("ref_table", "ref_id", "ref_field", "store", "id", "epoch", "at")
-    live = targets.where(~F.col("gone"))
-    in_time = F.coalesce(F.col("t.since") <= F.col("r.at"), F.lit(True))
-    masks = {
-        ("store", "id"): (r.where(F.col("epoch").isNull()), live.select("store", "id", "since")),
-        ("store", "id", "epoch"): (r.where(F.col("epoch").isNotNull()), live.select("store", "id", "since", F.explode("epochs").alias("epoch"))),
-    }
-    orphans = None
-    for columns, (part, known) in masks.items():
-        on = in_time
-        for c in columns:
-            on = (F.col(f"r.{c}") == F.col(f"t.{c}")) & on
-        left = part.alias("r").join(known.alias("t"), on, "left_anti")
-        orphans = left if orphans is None else orphans.unionByName(left)
+    targets = stored(targets)
+    by_id = F.struct(F.lit("id").alias("mask"), F.lit(None).cast("bigint").alias("epoch"))
+    by_epoch = F.transform("epochs", lambda e: F.struct(F.lit("id, epoch").alias("mask"), e.cast("bigint").alias("epoch")))
+    live = targets.where(~F.col("gone")).select("store", "id", "since", F.explode(F.concat(F.array(by_id), by_epoch)).alias("k")).select("store", "id", "since", "k.*").alias("t")
+    r = r.withColumn("mask", F.when(F.col("epoch").isNull(), "id").otherwise("id, epoch")).alias("r")
+    met = F.coalesce(F.col("t.since") <= F.col("r.at"), F.lit(True)) & F.col("r.epoch").eqNullSafe(F.col("t.epoch"))
+    for c in ("store", "id", "mask"):
+        met = (F.col(f"r.{c}") == F.col(f"t.{c}")) & met
+    orphans = r.join(live, met, "left_anti")
     j = orphans.join(targets, ["store", "id"], "left")  # only what matched nothing is looked at again
     state = (F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted")
-             .when(~F.coalesce(F.array_contains("epochs", F.col("epoch")), F.lit(True)), "stale").otherwise("late"))
+             .when(~F.coalesce(F.array_contains("epochs", F.col("epoch")), F.lit(True)), "stale").when(F.col("since") > F.col("at"), "late"))
     return j.select("ref_table", "ref_id", "ref_field", "at", state.alias("state"))
 
 
