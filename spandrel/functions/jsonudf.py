@@ -44,9 +44,25 @@ def canonical_json(text: str | None) -> str | None:
 
 
 def canonical_json_udf(c: Column) -> Column:
-    """:func:`canonical_json` of a column."""
+    """:func:`canonical_json` of a column. Spellings seen before come from a memo, which starts
+    afresh beyond 16 million characters: full snapshots repeat most of their records."""
 
     def spell(s: pd.Series) -> pd.Series:
-        return s.map(canonical_json, na_action="ignore")
+        memo, held = _seen
+        out = []
+        for t in s:
+            v = memo.get(t) if t is not None else None
+            if v is None and t is not None:
+                v = canonical_json(t)
+                held[0] += len(t) + len(v)
+                if held[0] > 16_000_000:
+                    memo.clear()
+                    held[0] = len(t) + len(v)
+                memo[t] = v
+            out.append(v)
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(spell, "string")(c)
+
+
+_seen: tuple[dict[str, str], list[int]] = ({}, [0])
