@@ -62,7 +62,8 @@ BROADCAST_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows. ``rows`` is their number where
-    it is known; otherwise they are counted, at most ``limit`` + 1 of them."""
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else with one to hash it, so
+    that the other side isn't sorted. ``rows`` is their number where it is known; otherwise they are
+    counted, at most ``limit`` + 1 of them."""
     n = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n <= limit else df.hint("shuffle_hash")
