@@ -622,70 +622,108 @@ Line <- Compound | Small (';' Small)* ';'? Eol
 Eol <- ~/\x01/ Sp
 Sp <- /(?:)/
 Suite <- ':' (Eol ~/\x02/ Sp Line+ ~/\x03/ Sp | Small (';' Small)* ';'? Eol)
-Compound <- 'if' Named Suite ('elif' Named Suite)* ('else' Suite)? | 'while' Named Suite ('else' Suite)? | 'async'? 'for' Targets 'in' Stars Suite ('else' Suite)? | Try | 'async'? 'with' With Suite | Deco* ('async'? 'def' Id TPar? '(' Params? ')' ('->' Test)? Suite | 'class' Id TPar? ('(' Args? ')')? Suite) | Match
+Compound <- 'if' Named Suite ('elif' Named Suite)* ('else' Suite)? | 'while' Named Suite ('else' Suite)? | 'async'? 'for' Targets 'in' Stars Suite ('else' Suite)? | Try | 'async'? 'with' With Suite | Deco* ('async'? 'def' Id TPar? '(' Params ')' ('->' Test)? Suite | 'class' Id TPar? ('(' Args? ')')? Suite) | Match
 Deco <- '@' Named Eol
-TPar <- '[' ('*' | '**')? Id (':' Test)? ('=' Test)? (',' ('*' | '**')? Id (':' Test)? ('=' Test)?)* ','? ']'
-Try <- 'try' Suite (('except' '*'? (Test ('as' Id)?)? Suite)+ ('else' Suite)? ('finally' Suite)? | 'finally' Suite)
+TPar <- '[' TP (',' TP)* ','? ']'
+TP <- '**' Id ('=' Test)? | '*' Id ('=' Star1)? | Id (':' Test)? ('=' Test)?
+Try <- 'try' Suite ((Except+ | ExceptAny+) ('else' Suite)? ('finally' Suite)? | 'finally' Suite)
+Except <- 'except' (Test ('as' Id)?)? Suite
+ExceptAny <- 'except' '*' Test ('as' Id)? Suite
 With <- '(' WItem (',' WItem)* ','? ')' &~/:/ | WItem (',' WItem)*
-WItem <- Test ('as' Star1)?
-Match <- /match\b(?!\s*[=.,)\]])/ Stars ':' Eol ~/\x02/ Sp (/case\b/ Pattern (',' Pattern)* ','? ('if' Named)? Suite)+ ~/\x03/ Sp
-Pattern <- '*'? PatOr ('as' Id)?
+WItem <- Test ('as' Target1 &~/[,):]/)?
+Match <- /match\b(?!\s*[=.,)\]])/ Subject ':' Eol ~/\x02/ Sp (/case\b/ Patterns ('if' Named)? Suite)+ ~/\x03/ Sp
+Subject <- StarN ',' (StarN (',' StarN)* ','?)? | Named
+Patterns <- StarPat ',' (StarPat (',' StarPat)* ','?)? | Pattern
+StarPat <- '*' Id | Pattern
+Pattern <- PatOr ('as' !~/_\b/ Id !~/[.(=]/)?
 PatOr <- PatOne ('|' PatOne)*
-PatOne <- '-'? Num (/[-+]/ Num)? | Str+ | /(?:None|True|False)\b/ | '(' (Pattern (',' Pattern)* ','?)? ')' | '[' (Pattern (',' Pattern)* ','?)? ']' | '{' (PatPair (',' PatPair)* ','?)? '}' | Id ('.' Id)* ('(' ((Id '=')? Pattern (',' (Id '=')? Pattern)* ','?)? ')')?
-PatPair <- '**' Id | PatOne ':' Pattern
-Small <- /%fast%/ | /(?:pass|break|continue)\b/ | 'return' Stars? | 'raise' (Test ('from' Test)?)? | /(?:global|nonlocal)\b/ Id (',' Id)* | 'del' Targets | 'assert' Test (',' Test)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | From | /type\b(?=\s+[^\W\d])/ Id TPar? '=' Test | ExprStmt
-From <- 'from' (/\.+/ Dotted? | Dotted) 'import' ('*' | '(' Id ('as' Id)? (',' Id ('as' Id)?)* ','? ')' | Id ('as' Id)? (',' Id ('as' Id)?)*)
+PatOne <- PatLit | '(' (Pattern ')' | (StarPat ',' (StarPat (',' StarPat)* ','?)?)? ')') | '[' (StarPat (',' StarPat)* ','?)? ']' | '{' (PatPair (',' PatPair)* (',' '**' !~/_\b/ Id)? ','? | '**' !~/_\b/ Id ','?)? '}' | Dotted (!~/[(]/ | '(' PatArgs? ')')
+PatArgs <- (PatKey | Pattern !~/=/ (',' !PatKey Pattern)* (',' PatKey)?) (',' PatKey)* ','?
+PatKey <- Id /=(?!=)/ Pattern
+PatLit <- '-'? Num (/[-+]/ Imag)? | Strs | /(?:None|True|False)\b/
+PatPair <- (PatLit | Id ('.' Id)+) ':' Pattern
+Small <- /%fast%/ | /(?:pass|break|continue)\b/ | 'return' Stars? | 'raise' (Test ('from' Test)?)? | /(?:global|nonlocal)\b/ Id (',' Id)* | 'del' DTarget (',' DTarget)* ','? | 'assert' Test (',' Test)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | From | /type\b(?=\s+[^\W\d])/ Id TPar? /=(?!=)/ Test | ExprStmt
+From <- 'from' (/\.+/+ Dotted? | Dotted) 'import' ('*' | '(' Id ('as' Id)? (',' Id ('as' Id)?)* ','? ')' | Id ('as' Id)? (',' Id ('as' Id)?)*)
 Dotted <- Id ('.' Id)*
-ExprStmt <- Targets1 ':' Test ('=' (Yield | Stars))? | Lhs (/(?:\*\*|\/\/|<<|>>|[-+*\/%@&|^])=/ (Yield | Stars)) | (LhsAll /=(?!=)/)+ (Yield | Stars) | Yield | Stars
-Targets1 <- Lhs
-Lhs <- '(' Lhs ')' | Atom Trailer*
-LhsAll <- !(Lit /=(?!=)/) Stars
-Lit <- Num | Str+ | /(?:None|True|False)\b/ | Atom Trailer* '(' 
-Targets <- Star1 (',' Star1)* ','?
-Star1 <- '*'? Bin
-Stars <- StarT (',' StarT)* ','?
-StarT <- '*' Bin | Named
+ExprStmt <- (Targets /=(?!=)/)+ (Yield | Stars) | Single (':' Test (/=(?!=)/ (Yield | Stars))? | /(?:\*\*|\/\/|<<|>>|[-+*\/%@&|^])=/ (Yield | Stars)) | Yield | Stars
+More <- ~/[.(\[]/
+Place <- Atom (Trailer &More)* ('.' Id | Index) !More | Id !More
+Single <- Place | '(' Single ')'
+Targets <- Target1 (',' Target1)* ','?
+Target1 <- '*' !~/\*/ Target1 | Target
+Target <- Place | '(' (Target ')' | (Target1 ',' (Target1 (',' Target1)* ','?)?)? ')') | '[' (Target1 (',' Target1)* ','?)? ']'
+DTarget <- Place | '(' (DTarget (',' DTarget)* ','?)? ')' | '[' (DTarget (',' DTarget)* ','?)? ']'
+Star1 <- '*' Bin | Test
+Stars <- Star1 (',' Star1)* ','?
+StarN <- '*' Bin | Named
 Yield <- 'yield' ('from' Test | Stars)?
 Named <- Id ':=' Test | Test
 Test <- Lambda | Or ('if' Or 'else' Test)?
-Lambda <- 'lambda' LParams? ':' Test
-LParams <- LParam (',' LParam)* ','?
-LParam <- '/' | '**' Id | '*' Id? | Id ('=' Test)?
-Params <- Param (',' Param)* ','?
-Param <- '/' | '**' Id (':' Test)? | '*' (Id (':' (Star1 | Test))?)? | Id (':' Test)? ('=' Test)?
+Lambda <- 'lambda' LParams ':' Test
+LParams <- (LN+ '/' LC LN* LD* | LN* LD+ '/' LC LD* | LN+ LD* | LD*) LStar?
+LStar <- '*' ',' (LD | LN)+ LKey? | '*' LN (LD | LN)* LKey? | LKey
+LKey <- '**' LN
+LN <- Id !~/=/ LC
+LD <- Id '=' Test LC
+LC <- ',' | &~/:/
+Params <- (PN+ '/' PC PN* PD* | PN* PD+ '/' PC PD* | PN+ PD* | PD*) PStar?
+PStar <- '*' ',' (PD | PN)+ PKey? | '*' Id (':' Star1)? !~/=/ PC (PD | PN)* PKey? | PKey
+PKey <- '**' PN
+PN <- Id (':' Test)? !~/=/ PC
+PD <- Id (':' Test)? '=' Test PC
+PC <- ',' | &~/\)/
 Or <- Not (/(?:or|and)\b/ Not)*
 Not <- 'not' Not | Bin (/==|!=|<=|>=|[<>](?![<>])|not\s+in\b|in\b|is\s+not\b|is\b/ Bin)*
 Bin <- Unary (/<<|>>|\/\/|\*\*|[-+*\/%@&|^](?!=)/ Unary)*
 Unary <- /[-+~]/ Unary | 'await'? Atom Trailer*
-Trailer <- '.' Id | '(' Args? ')' | '[' Sub (',' Sub)* ','? ']'
-Args <- Arg (',' Arg)* ','?
-Arg <- '**' Test | '*' Test | Id /=(?!=)/ Test | Named CompFor?
-Sub <- Test? ':' Test? (':' Test?)? | StarT
-CompFor <- ('async'? 'for' Targets 'in' Or ('if' CompIf)*)+
-CompIf <- Lambda | Id ':=' Or | Or
-Atom <- '(' (Yield | Named CompFor | Stars)? ')' | '[' (Named CompFor | StarT (',' StarT)* ','?)? ']' | '{' (Entry CompFor | Entry (',' Entry)* ','?)? '}' | Str+ | Num | '...' | /(?:None|True|False)\b/ | Id
-Entry <- '**' Bin | Test ':' Test | StarT
-Num <- /(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)/
-Str <- FStr | /(?:[rRuUbB]|[bB][rR]|[rR][bB])?(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')/
-FStr <- ~/[fF][rR]?\"\"\"|[rR][fF]\"\"\"/ (~/(?:[^"\\{}]|\\[\s\S]|\{\{|\}\}|"(?!""))+/ | Field)* /\"\"\"/ | ~/[fF][rR]?'''|[rR][fF]'''/ (~/(?:[^'\\{}]|\\[\s\S]|\{\{|\}\}|'(?!''))+/ | Field)* /'''/
-      | ~/[fF][rR]?"|[rR][fF]"/ (~/(?:[^"\\{}\n]|\\[^{}]|\{\{|\}\})+/ | Field)* /"/ | ~/[fF][rR]?'|[rR][fF]'/ (~/(?:[^'\\{}\n]|\\[^{}]|\{\{|\}\})+/ | Field)* /'/
-Field <- '{' (Yield | Stars) '='? /![rsa]/? (~/:/ (~/[^{}"'\n]+/ | Field)*)? ~/\}/
+Trailer <- '.' Id | '(' (Named CompFor | Args)? ')' | Index
+Index <- '[' Sub (',' Sub)* ','? ']'
+Args <- (PosArg (',' PosArg)* (',' KeyArgs)? | KeyArgs) ','?
+PosArg <- '*' Test | Named !~/=(?!=)/
+KeyArgs <- KeyStar (',' KeyStar)* (',' KeyMap)* | KeyMap (',' KeyMap)*
+KeyStar <- '*' Test | Id /=(?!=)/ Test
+KeyMap <- '**' Test | Id /=(?!=)/ Test
+Sub <- Test? /:(?!=)/ Test? (/:(?!=)/ Test?)? | '*' Test | Named
+CompFor <- ('async'? 'for' Targets 'in' Or ('if' Or)*)+
+Atom <- '(' (Yield | Named CompFor | StarN ',' (StarN (',' StarN)* ','?)? | Named)? ')' | '[' (Named CompFor | StarN (',' StarN)* ','?)? ']' | '{' (Test ':' Test CompFor | Entry (',' Entry)* ','? | Named CompFor | StarN (',' StarN)* ','?)? '}' | Strs | Num | '...' | /(?:None|True|False)\b/ | Id
+Entry <- '**' Bin | Test ':' Test
+Num <- /(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:%dig%)?\.%dig%(?:[eE][+-]?%dig%)?[jJ]?|%dig%(?:\.(?:[eE][+-]?%dig%)?[jJ]?|[eE][+-]?%dig%[jJ]?|[jJ])|(?:0(?:_?0)*|[1-9](?:_?\d)*)(?!\.))(?:(?!\w)|(?=(?:and|else|for|if|in|is|not|or)\b))/
+Imag <- /(?:(?:%dig%)?\.%dig%|%dig%\.?)(?:[eE][+-]?%dig%)?[jJ](?!\w)/
+Strs <- Bytes+ !Text | Text+ !Bytes
+Bytes <- /[bB](?:%bytes%)|(?:[bB][rR]|[rR][bB])(?:%rawbytes%)/
+Text <- FStr | /[uU]?(?:%text%)|[rR](?:%rawtext%)/
+FStr <- ~/[fF]\"\"\"/ (~/(?:[^"\\{}]|%esc%|\\(?=[{}])|\{\{|\}\}|"(?!""))+/ | Field)* /\"\"\"/ | ~/[fF]'''/ (~/(?:[^'\\{}]|%esc%|\\(?=[{}])|\{\{|\}\}|'(?!''))+/ | Field)* /'''/
+      | ~/[fF]"(?!"")/ (~/(?:[^"\\{}\n]|%esc%|\\(?=[{}])|\{\{|\}\})+/ | Field)* /"/ | ~/[fF]'(?!'')/ (~/(?:[^'\\{}\n]|%esc%|\\(?=[{}])|\{\{|\}\})+/ | Field)* /'/
+      | ~/(?:[fF][rR]|[rR][fF])\"\"\"/ (~/(?:[^"\\{}]|\\[^{}]|\\(?=[{}])|\{\{|\}\}|"(?!""))+/ | Field)* /\"\"\"/ | ~/(?:[fF][rR]|[rR][fF])'''/ (~/(?:[^'\\{}]|\\[^{}]|\\(?=[{}])|\{\{|\}\}|'(?!''))+/ | Field)* /'''/
+      | ~/(?:[fF][rR]|[rR][fF])"(?!"")/ (~/(?:[^"\\{}\n]|\\[^{}]|\\(?=[{}])|\{\{|\}\})+/ | Field)* /"/ | ~/(?:[fF][rR]|[rR][fF])'(?!'')/ (~/(?:[^'\\{}\n]|\\[^{}]|\\(?=[{}])|\{\{|\}\})+/ | Field)* /'/
+Field <- '{' !~/lambda\b/ (Yield | Stars) '='? /![rsa]/? (~/:/ (~/[^{}"'\n]+/ | Field)*)? ~/\}/
 Id <- /%id%/
 """
 
 
+def _py_quoted(escape: str, beyond: str = "") -> str:
+    """String literals in their four kinds of quotes; ``beyond`` are characters they can't hold."""
+    kinds = (('"""', '"""', '|"(?!"")', ""), ("'''", "'''", "|'(?!'')", ""), ('"(?!"")', '"', "", r"\n"), ("'(?!'')", "'", "", r"\n"))
+    return "|".join(rf"{start}(?:[^{q[0]}\\{end}{beyond}]|{escape}{inner})*{q}" for start, q, inner, end in kinds)
+
+
 def _python() -> Grammar:
     ident = rf"(?!(?:{_PY_RESERVED})\b){_ID}"
-    atom = rf"(?:{ident}(?:\[\d+\])?|(?:0|[1-9]\d*)(?!\w)|\"(?:[^\"\\\n]|\\.)*\")"
+    atom = rf"(?:{ident}(?:\[(?:0|[1-9]\d*)\])?|(?:0|[1-9]\d*)(?!\w)|\"[^\"\\\n]*\")"
     call = rf"{ident}\({ident}(?:, {ident})*\)"
     simple = rf"(?:{call}|{atom}(?: [-+*] {atom})?)"
     fast = rf"(?>(?:{ident} = {simple}|{call}|return {simple}|pass)\x01[ \t]*)*(?:{ident} = {simple}|{call}|return {simple}|pass)(?=[ \t]*\x01)"
-    return Grammar(_expand(_PY, fast=fast, id=ident), _PY_SPACE)
+    hexa = r"[\da-fA-F]"
+    more = rf"x{hexa}{{2}}|u{hexa}{{4}}|U(?:000{hexa}|0010){hexa}{{4}}|N\{{[^{{}}\n]+\}}"
+    beyond = "\x80-\U0010ffff"
+    return Grammar(_expand(
+        _PY, fast=fast, id=ident, dig=r"\d(?:_?\d)*", text=_py_quoted(rf"\\(?:[^xuUN]|{more})"), rawtext=_py_quoted(r"\\[\s\S]"), esc=rf"\\(?:[^xuUN{{}}]|{more})",
+        bytes=_py_quoted(rf"\\(?:[^x{beyond}]|x{hexa}{{2}})", beyond), rawbytes=_py_quoted(rf"\\[^{beyond}]", beyond)), _PY_SPACE)
 
 
 _PY_TOKEN = re.compile(
     r'(?P<str>(?:[rRuUbBfF]{0,2})(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'))'
-    r"|(?P<com>#[^\n]*)|(?P<join>\\\r?\n)|(?P<nl>\r?\n)|(?P<open>[([{])|(?P<shut>[)\]}])|(?P<rest>[^\"'#\\\n\r()\[\]{}\w]+|\w+|[\s\S])")
+    r"|(?P<com>#[^\n]*)|(?P<join>\\\r?\n)|(?P<nl>\r?\n)|(?P<open>[([{])|(?P<shut>[)\]}])|(?P<rest>(?:[^\"'#\\\n\r()\[\]{}\w]|\w+(?![\w\"']))+|\w+|[\s\S])")
 _LEAD = re.compile(r"[ \t\f]*")
 
 
@@ -740,7 +778,7 @@ def _python_lines(text: str) -> tuple[str, Callable[[int], int]]:
                 put(_EOL, at)
                 fresh = True
         elif m["join"]:
-            put(" " * (m.end() - at), at)
+            put(" " * (m.end() - at) if m.end() < n else "\x00", at)
         elif not m["com"]:
             depth = max(0, depth + bool(m["open"]) - bool(m["shut"]))
             put(m.group(), at)

@@ -2,64 +2,39 @@
 
 from __future__ import annotations
 
-import ast
-import json
 import re
-import tomllib
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.functions.lineage import broadcast_if_small
 from spandrel.functions.text import blank_to_null, plain_path
 from spandrel.llm.arrow_rows import small_batches
 from spandrel.llm.grammars import EXTENSIONS, furthest_failure
+from spandrel.llm.toml_keys import repeated_key
 
 _CONFLICT = re.compile(r"(?:<{7}|={7}|>{7}|\|{7})(?![<=>|])")
 
 
-def _exactly_valid(language: str, text: str) -> bool | None:
-    """The reference parser's word where Python has one, else None."""
-    text = text.removeprefix("﻿")
-    try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif language == "json":
-            json.loads(text, parse_constant=lambda x: 1 // 0)
-        elif language == "toml":
-            tomllib.loads(text)
-        else:
-            return None
-    except (SyntaxError, ValueError, ArithmeticError, RecursionError, MemoryError):
-        return False
-    return True
-
-
 def judge(language: str, text: str) -> tuple[int, int, str] | None:
     """None if valid, else (furthest code point, its line from 1, cause).
 
     Causes: ``conflict`` (a merge marker starts the line the parser got to), ``truncated`` (it got
     to the end), ``language`` (the text parses in another language), ``duplicate`` (a TOML key is
-    defined twice, which no grammar can say), ``syntax``. Where Python has the language's own
-    parser, a text the grammar refuses is a case only if that parser refuses it too.
+    defined twice, which no grammar can say), ``syntax``.
     """
     at = furthest_failure(language, text)
     if at is None:
-        if language == "toml" and _exactly_valid(language, text) is False:
-            return len(text), text.count("\n") + 1, "duplicate"
-        return None
-    if _exactly_valid(language, text):
-        return None
+        twice = repeated_key(text) if language == "toml" else None
+        return None if twice is None else (twice, text.count("\n", 0, twice) + 1, "duplicate")
     line = text.rfind("\n", 0, at) + 1
     if any(_CONFLICT.match(text, i) for i in (line, text.find("\n", at) + 1)) or _CONFLICT.match(text, at):
         cause = "conflict"
     elif at >= len(text.rstrip()):
         cause = "truncated"
-    elif at <= 40 + len(text) // 10 and any(furthest_failure(x, text) is None for x in EXTENSIONS.values() if x not in (language, "shell", "ruby")):
+    elif any(furthest_failure(x, text) is None for x in EXTENSIONS.values() if x != language):
         cause = "language"
     else:
         cause = "syntax"
@@ -91,14 +66,18 @@ def versions(files: DataFrame) -> DataFrame:
 def unparsable(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(repo, path, git_sha, ext, failed_at, line, cause) of file versions that aren't valid.
 
-    Each text is parsed once per extension it is stored under, however many paths share it. Rows
-    without git_sha, text or a known extension aren't judged; an empty text is valid except as
-    JSON. Repeated rows give one case. A text's size is bounded only by a task's memory.
+    Each stored text is parsed once per extension it is stored under, however many paths share it.
+    Texts are never sorted, and not shuffled either while the identifiers of all versions are few
+    enough to be broadcast; beyond that they are hashed to them. Rows without git_sha, text or a
+    known extension aren't judged; an empty text is valid except as JSON. Repeated rows give one
+    case, of texts that differ under one git_sha that with the least place.
     """
     v = versions(files)
-    texts = contents.where(F.col("blob").isNotNull()).select(blank_to_null("git_sha").alias("git_sha"), "blob").dropDuplicates(["git_sha"])
-    work = v.select("git_sha", "ext").distinct().join(texts, "git_sha").select("git_sha", "ext", "blob")
+    keys = broadcast_if_small(v.select("git_sha", "ext").distinct())
+    texts = contents.where(F.col("blob").isNotNull()).select(blank_to_null("git_sha").alias("git_sha"), "blob")
+    work = texts.join(keys, "git_sha").select("git_sha", "ext", "blob")
     bad = work.mapInArrow(_judged, "git_sha string, ext string, failed_at bigint, line bigint, cause string")
+    bad = bad.groupBy("git_sha", "ext").agg(F.min(F.struct("failed_at", "line", "cause")).alias("b")).select("git_sha", "ext", "b.*")
     return v.join(bad, ["git_sha", "ext"]).select("repo", "path", "git_sha", "ext", "failed_at", "line", "cause")
 
 

@@ -3,6 +3,11 @@
 import ast
 import base64
 import random
+import re
+import subprocess
+import sys
+import tomllib
+import warnings
 
 import pytest
 from hypothesis import given, settings
@@ -154,23 +159,301 @@ def test_grammars(language):
             assert furthest_failure(language, text + "\n<<<<<<< ours\n=======\n>>>>>>> theirs\n") is not None
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["x", "1", "(", ")", "[", "]", "\n", "    ", ":", "if ", "def f():", "=", "+", ",", "'a'", "return ", " in ", "not ", "lambda ", "*", "pass", "else"]), max_size=9).map("".join))
+def python_takes(text):
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+        return True
+    except (SyntaxError, ValueError):
+        return False
+
+
+#: One case a line, valid and not; \\n stands for a line break.
+PYTHON_CASES = r"""
+f(a=1, 2)
+def f(a=1, b): pass
+f() = 1
+for 1 in x: pass
+{1: 2, 3}
+{1, 2: 3}
+0777
+00
+0_0
+01.5
+1_
+1__0
+f(**k, *a)
+f(**k, a)
+f(*a, b=1, *c, **d)
+f(x for x in y, 1)
+f(x for x in y)
+f(1, x for x in y)
+class A(x for x in y): pass
+def f(*, **k): pass
+def f(*, a): pass
+def f(*a=1): pass
+def f(a, /, b, *, c=1, d, **e,): pass
+def f(/, a): pass
+def f(a, /, b, /): pass
+def f(**k, a): pass
+def f(*a, *b): pass
+lambda a=1, b: 2
+lambda *, a: 1
+lambda *a, b=1, **c: 1
+lambda: (yield)
+(a, 1) = x
+a + b = 1
+*a, b = c
+*a = c
+(*a) = c
+(*a,) = c
+(a) = 1
+(a).b = 1
+(a)() = 1
+a, b += 1
+a.b[c] += 1
+(a) += 1
+(a, b): int = 1
+a.b: int
+(a): int = 3
+x: int = yield
+del f()
+del a, (b, [c.d])
+del *a
+del ()
+x := 1
+(x := 1)
+return x := 1
+[x := 1, 2]
+a[x := 1]
+a[1:2, *b]
+{x := 1}
+[y for y in z if w := 1]
+[y for y in z if (w := 1)]
+[y for y in z if lambda: 1]
+[*a for a in b]
+{**a for a in b}
+{k: v for k, v in z}
+{**a, 'b': 1}
+(*a)
+(*a,)
+b'a' 'c'
+'a' b'c'
+b'é'
+'\x1'
+'\u12'
+'\U00110000'
+b'\u12'
+r'\x'
+rb'\x'
+ur'x'
+f'{}'
+f'{a}{b!r:>{w}}'
+f'{a b}'
+f'}'
+f'{{}}'
+f'{lambda x: 1}'
+f'{x!z}'
+f'{a["b"]}'
+f'\{a}'
+fr'\{a}'
+f'{x=}'
+f'{x:%Y-%m}'
+try: pass\nexcept A, B: pass
+try: pass\nexcept* : pass
+try: pass\nexcept A: pass\nexcept* B: pass
+try: pass\nexcept* A: pass\nelse: pass
+from x import a,
+from x import (a, b,)
+from . import *
+from .. . import y
+import a as b.c
+with (a as b, c as d,): pass
+with (a, b): pass
+with a as f(): pass
+with a as (b, c): pass
+with a as b.c, d: pass
+match x:\n case *a: pass
+match x:\n case *a,: pass
+match x:\n case {**r, 'a': 1}: pass
+match x:\n case {'a': 1, **r}: pass
+match x:\n case {x: 1}: pass
+match x:\n case A(x=1, 2): pass
+match x:\n case A(1, x=2, y=3,): pass
+match x:\n case -x: pass
+match x:\n case -1 | 2+3j | 'a' 'b' | None: pass
+match x:\n case a as _: pass
+match x:\n case (a | b) as c if d: pass
+match x:\n case a.b.c(): pass
+match = 1
+match(x)
+match[x] = 1
+print match
+case = 3
+type X = int
+type X[T: int, *Ts, **P] = int
+type = 3
+type(x)
+def f[*Ts: int](): pass
+@x := 1\ndef f(): pass
+@a.b(c)[d]\nclass A: pass
+1if x else y
+0xfor x
+1 if x
+a < > b
+a <> b
+not a == not b
+1 + not x
+await x
+-await x ** 2
+async def f(): await -x
+print(a, end='')
+global a = 1
+a = b = c = yield
+a = (yield)
+return yield
+x = lambda: yield
+if x: if y: z
+if x: a; b;
+;
+a;;b
+for x in *a, b: pass
+for *x, y in z: pass
+for x.y in z: pass
+for f() in z: pass
+[a for f() in z]
+[a for (b, c) in z for d in e if f if g]
+async for x in y: pass
+raise a, b
+raise a from b
+assert a, b
+...
+x = 1 \
+x = 1 \\n + 2
+def f(a, a): pass
+f(a.b=1)
+f((a)=1)
+f(a for a in b)(c)
+f(*, a)
+class A: x = 1
+class A(B, metaclass=C, *d, **e): pass
+a[]
+a[:, 1:2:3, ...]
+a[1:2:3:4]
+None = 1
+f(None=1)
+[a, b] = c
+[a, 1] = c
+[] = ()
+() = []
+[*a, *b] = c
+a.b.c = d[1][2] = e
+"a" = 1
+a ? b
+a!
+$x
+else: pass
+elif x: pass
+while x: pass\nelse: pass
+nonlocal x
+if (x := 1) and y: pass
+while x := f(): pass
+print(f"{x:{y}.{z}f}")
+def f() -> (yield): pass
+x = yield = 1
+a, = b
+a = b,
+,a
+lambda x, /, y=1, *z, k, **w: 0
+lambda (a, b): 1
+def f((a, b)): pass
+exec "x"
+`x`
+0o18
+0b12
+1.e5
+1e
+1e5j
+.5
+5.
+1.real
+1 .real
+x = 0xg
+"\
+a"
+'a
+'''a
+def f():\n\tx\n        y
+def f():\n  x\n y
+  x
+if x:\npass
+x = (1,\n  2)
+x = [1\n
+"""
+
+
+@pytest.mark.parametrize("case", [c for c in PYTHON_CASES.split("\n") if c])
+def test_python_grammar_takes_what_ast_takes(case):
+    text = case.replace("\\n", "\n")
+    for t in (text, text + "\n"):
+        assert (furthest_failure("python", t) is None) == python_takes(t)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["x", "1", "(", ")", "[", "]", "{", "}", "\n", "    ", ":", "if ", "def f():", "def f(", "=", " = ", "+", ",", "'a'", "b'a'", "return ", " in ", "not ", "lambda ", "*", "**", "/", "pass", "else", "for ", "x", ".y", ":=", "yield ", "await ", "async ", "del ", "-", "==", "with ", " as ", "class A", "f'{x}'", "0", "007"]), max_size=9).map("".join))
 def test_python_grammar_agrees_with_ast(text):
+    assert (furthest_failure("python", text) is None) == python_takes(text)
+
+
+def test_mutated_python_agrees_with_ast():
+    r = random.Random(8)
+    whole = "\n".join(VALID["python"][1:])
+    tokens = re.findall(r"\w+|\s+|[^\w\s]", whole)
+    for _ in range(1500):
+        k = r.randrange(len(tokens) - 40)
+        part = tokens[k : k + 40]
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(part))
+            part[i] = r.choice([part[i] * 2, "", r.choice(tokens), r.choice(tokens) + part[i]])
+        text = "".join(part).lstrip()
+        assert (furthest_failure("python", text) is None) == python_takes(text), text
+
+
+KEYS, VALUES = ["a", "b", '"a"', "'b'", "a.b", "b.a", "a.b.c", '"\\u0061"'], ["1", "{ a = 1 }", "{ a.b = 1, a.c = 2 }", "[1, {a=1,b=2}]", '"x"', "{a=1,a=2}", "[]", "1979-05-27 07:32:00 # ] ="]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(KEYS).map("[{}]".format), st.sampled_from(KEYS).map("[[{}]]".format), st.tuples(st.sampled_from(KEYS), st.sampled_from(VALUES)).map(" = ".join)), max_size=6).map("\n".join))
+def test_repeated_toml_keys_agree_with_tomllib(text):
     try:
-        ast.parse(text)
+        tomllib.loads(text)
         ok = True
-    except (SyntaxError, ValueError):
+    except ValueError:
         ok = False
-    if ok:
-        assert furthest_failure("python", text) is None
+    assert (parsing.judge("toml", text) is None) == ok
+
+
+def test_a_bundle_of_20_megabytes_is_parsed_in_bounded_memory():
+    code = """
+import resource
+from spandrel.llm.grammars import furthest_failure
+unit = 'e.m%d=function(t,n){var r=n(%d),o=[r.a,"x",{k:t[1]}];return o.map(function(e){return e&&e.b?e.b(t):null})},'
+text = "!function(e){" + "".join(unit % (i, i) for i in range(190_000)) + "e.z=1}(window);"
+assert len(text) > 20_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert furthest_failure("javascript", text) is None
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True)
+    assert int(out.stdout) < 200
 
 
 def test_unparsable(spark):
     files = spark.createDataFrame([("r", "./r/a.py", "s1"), ("r", "r\\a.py", "s1"), ("r", "r/b.JSON", "s2"), ("r", "r/c.js", "s1"), ("r", "r/d.txt", "s2"), ("r", "r/e.py", None), ("r", "r/f.py", "none"), ("r", None, "s1"), ("r", "r/g.toml", "s3")], "repo string, path string, git_sha string").selectExpr("*", "'x' as ext", "'y' as blob")
     contents = spark.createDataFrame([("s1", "x = 1\n<<<<<<< a\n"), ("s1", "x = 1\n<<<<<<< a\n"), ("s2", "[1,"), ("s4", None), ("s3", "a = 1\na = 2\n")], "git_sha string, blob string")
     got = parsing.unparsable(files, contents)
-    assert rows(got.select("path", "git_sha", "cause", "line")) == [("r/a.py", "s1", "conflict", 2), ("r/b.JSON", "s2", "truncated", 1), ("r/c.js", "s1", "conflict", 2), ("r/g.toml", "s3", "duplicate", 3)]
+    assert rows(got.select("path", "git_sha", "cause", "line")) == [("r/a.py", "s1", "conflict", 2), ("r/b.JSON", "s2", "truncated", 1), ("r/c.js", "s1", "conflict", 2), ("r/g.toml", "s3", "duplicate", 2)]
     assert parsing.unparsable(files.where("false"), contents).count() == 0
     assert {r.language: r.rate for r in parsing.failure_rates(files, contents).collect()} == {"python": 1.0, "json": 1.0, "javascript": 1.0, "toml": 1.0}
     assert parsing.judge("python", "a" * 300_000 + " = 1\n") is None and set(EXTENSIONS.values()) == set(VALID)
