@@ -5,9 +5,13 @@ it compresses, the entropy of its tokens, the lengths of its identifiers, the de
 comments, the shape of its lines, whether it lies in a vendor directory, and how much of it also
 occurs in known third-party files. It is trained on the files that say themselves what they are:
 a notice of the tool or of the foreign project in their leading comment (or a bundler's banner)
-marks one kind, the repository's own copyright notice the other, as do small JSON and TOML files. Notices are cut off before
-features are taken, so the forest has to recognise files that carry none. Data kept as code never
-says so; blobs made from a fixed seed stand in for it. A path has one class in all its versions.
+marks one kind, the repository's own copyright notice the other. Notices are cut off before
+features are taken, so the forest has to recognise files that carry none, and only its votes count.
+Two kinds have no comments to say anything in: data kept as code, for which blobs made from a fixed
+seed stand in, and a repository's own small JSON and TOML, hand-written by definition. A path has one
+class in all its versions.
+
+Texts are looked at where they are read; from then on only features and a few hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.functions.lineage import cut
+from spandrel.functions.lineage import broadcast_if_small, stored
 from spandrel.functions.text import blank_to_null, plain_path
 from spandrel.llm.arrow_rows import small_batches
 
 TRAIN_ROWS = 20_000  # labelled rows the forest is fitted on, at most; all rows are judged
 BLOBS = 240
-SMALL_CONFIG = 65_536  # bytes up to which a repository's own JSON or TOML counts as hand-written
+SMALL_CONFIG = 65_536  # bytes up to which JSON or TOML outside vendor directories is a repository's own, whatever the votes
 _GRAM = 4  # lines hashed together
 _WINDOW = 4  # of so many such hashes the least is kept
 
@@ -57,6 +61,8 @@ _DIGITS = re.compile(r"\d+")
 
 FEATURES = ("compression", "entropy", "entropy_share", "id_length", "id_short", "id_distinct", "comments", "line_mean", "line_max", "space", "digits",
             "strings", "string_max", "repeated_lines", "tokens_per_id", "length")
+#: What a path alone says, and how much of a text occurs in known third-party files.
+PLACE = ("vendored", "tooled", "overlap")
 
 
 def notice(text: str) -> tuple[str, str | None]:
@@ -96,7 +102,7 @@ def features(text: str) -> list[float]:
     strings = [len(s) for s in _STRING.findall(text)]
     size = len(text)
     return [
-        len(zlib.compress(raw, 6)) / len(raw), entropy, entropy / math.log2(n) if n > 1 else 0.0, sum(map(len, ids)) / k, sum(len(t) <= 2 for t in ids) / k, len(set(ids)) / k,
+        len(zlib.compress(raw, 1)) / len(raw), entropy, entropy / math.log2(n) if n > 1 else 0.0, sum(map(len, ids)) / k, sum(len(t) <= 2 for t in ids) / k, len(set(ids)) / k,
         sum(len(c) for c in _COMMENT.findall(text)) / size, size / max(1, len(lines)), max(map(len, lines), default=0), sum(map(text.count, " \t\n")) / size,
         sum(map(len, _DIGITS.findall(text))) / size, sum(strings) / size, max(strings, default=0) / size, 1 - len(shapes) / m, n / k, math.log2(size)]
 
@@ -139,8 +145,9 @@ def data_blobs(n: int = BLOBS, seed: int = 7) -> list[list[float]]:
 
 def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
-        kind, holder, feats, prints = [], [], [], []
+        kind, holder, size, feats, prints = [], [], [], [], []
         for t in b.column(1).to_pylist():
+            size.append(len(t.encode("utf-8", "surrogatepass")))
             if _POINTER.match(t):
                 for column, nothing in ((kind, ""), (holder, None), (feats, None), (prints, [])):
                     column.append(nothing)
@@ -151,64 +158,71 @@ def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             holder.append(h)
             feats.append(features(rest))
             prints.append(line_fingerprints(rest))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kind, pa.string()), pa.array(holder, pa.string()), pa.array(feats, pa.list_(pa.float64())), pa.array(prints, pa.list_(pa.int64()))],
-                                         ["git_sha", "notice", "holder", "feats", "prints"])
+        columns = [b.column(0), pa.array(kind, pa.string()), pa.array(holder, pa.string()), pa.array(size, pa.int64()), pa.array(feats, pa.list_(pa.float64())), pa.array(prints, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["git_sha", "notice", "holder", "bytes", "feats", "prints"])
 
 
 def _overlap(examined: DataFrame) -> DataFrame:
-    """(path, overlap): the share of a path's fingerprints that a known third-party file under
-    another name of place has too. Known are folded to two paths per fingerprint, so a hot one
-    costs no more than any other."""
-    prints = examined.where(F.col("prints").isNotNull()).select("path", "foreign", F.explode("prints").alias("h")).distinct()
+    """(path, overlap): the share of a version's fingerprints that a known third-party file at
+    another path has too, the greatest of a path's versions, for paths with any. Known ones are
+    folded to two paths per fingerprint, so a hot one costs no more than any other."""
+    prints = examined.select("path", "git_sha", "foreign", F.size("prints").alias("n"), F.explode("prints").alias("h"))
     known = prints.where("foreign").groupBy("h").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-    j = prints.join(known, "h", "left")
-    hit = F.col("lo").isNotNull() & ((F.col("lo") != F.col("path")) | (F.col("hi") != F.col("path")))
-    return j.groupBy("path").agg((F.count(F.when(hit, 1)) / F.count("*")).alias("overlap"))
+    j = prints.join(broadcast_if_small(known), "h").where((F.col("lo") != F.col("path")) | (F.col("hi") != F.col("path")))
+    each = j.groupBy("path", "git_sha").agg((F.count("*") / F.first("n")).alias("overlap"))
+    return each.groupBy("path").agg(F.max("overlap").alias("overlap"))
+
 
+def judged_paths(files: DataFrame, contents: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 30, depth: int = 9, seed: int = 11, use: Sequence[str] = FEATURES + PLACE,
+                 small_config: int = SMALL_CONFIG) -> DataFrame:
+    """(path, score, noticed, vendored, bytes): the mean of the forest's votes over a path's
+    versions, whether one of them carries a notice, whether it lies in a vendor directory, and the
+    size of its longest version.
 
-def judged_paths(files: DataFrame, contents: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 30, depth: int = 9, seed: int = 11) -> DataFrame:
-    """(path, score, said): the mean of the forest's votes over a path's versions, and whether one
-    of them carries a notice. Paths without stored text are judged by their place alone, as are mere
-    pointers to large files (their content features are blank, and so are those of a copy of each training row). Null and blank
-    paths are left out; a path no label can be learnt for scores by what else there is: with no
-    labelled rows at all the score is null.
+    ``use`` names the features the forest may see. Paths without stored text are judged by their
+    place alone, as are mere pointers to large files (their content features are blank, and so are
+    those of a copy of each training row). Null and blank paths are left out; with labels of one
+    kind only the score is null.
     """
     v = files.select(plain_path("path").alias("path"), blank_to_null("git_sha").alias("git_sha")).where(F.col("path").isNotNull() & (F.col("path") != "")).distinct()
-    texts = contents.where(F.col("blob").isNotNull()).select(blank_to_null("git_sha").alias("git_sha"), "blob").where(F.col("git_sha").isNotNull()).dropDuplicates(["git_sha"])
-    seen = texts.mapInArrow(_examined, "git_sha string, notice string, holder string, feats array<double>, prints array<bigint>")
+    texts = contents.where(F.col("blob").isNotNull()).select(blank_to_null("git_sha").alias("git_sha"), "blob").where(F.col("git_sha").isNotNull())
+    seen = texts.mapInArrow(_examined, "git_sha string, notice string, holder string, bytes bigint, feats array<double>, prints array<bigint>").dropDuplicates(["git_sha"])
     repos = v.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("repo")).distinct()
     e = v.join(seen, "git_sha", "left").withColumn("repo", F.split_part("path", F.lit("/"), F.lit(1)))
-    e = e.join(repos.select(F.col("repo").alias("holder"), F.lit(True).alias("holder_is_repo")), "holder", "left")
+    e = e.join(broadcast_if_small(repos.select(F.col("repo").alias("holder"), F.lit(True).alias("holder_is_repo"))), "holder", "left")
     vendored = F.col("path").rlike(_VENDOR)
     stranger = F.col("holder").isNotNull() & F.col("holder_is_repo").isNull()
-    small_config = F.col("path").rlike(_CONFIG) & (F.col("feats")[len(FEATURES) - 1] <= math.log2(SMALL_CONFIG))
+    small = F.col("path").rlike(_CONFIG) & ~vendored & (F.col("bytes") <= small_config)
     e = e.select(
-        "path", "git_sha", "feats", "prints", vendored.cast("double").alias("vendored"), F.col("path").rlike(_TOOLED).cast("double").alias("tooled"),
+        "path", "git_sha", "bytes", "feats", "prints", vendored.cast("double").alias("vendored"), F.col("path").rlike(_TOOLED).cast("double").alias("tooled"),
         (vendored | (F.col("notice") == "foreign") | stranger).alias("foreign"),
-        F.when(F.col("notice").isin("generated", "bundle", "foreign") | stranger, 1.0).when(~vendored & ((F.col("holder") == F.col("repo")) | small_config), 0.0).alias("label"))
-    e = cut(e)
-    rows = e.join(_overlap(e), "path", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    blank = F.array(*[F.lit(-1.0)] * len(FEATURES))
-    place = F.array("vendored", "tooled", "overlap")
-    rows = rows.select("path", "label", F.array_append(F.concat(F.coalesce("feats", blank), place), F.lit(0.0)).alias("x"), F.col("feats").isNotNull().alias("read"))
+        F.when(F.col("notice").isin("generated", "bundle", "foreign") | stranger, 1.0).when((F.col("holder") == F.col("repo")) | small, 0.0).alias("label"))
+    e = stored(e)
+    rows = e.join(broadcast_if_small(_overlap(e)), "path", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    names = [*(n for n in FEATURES if n in use), *(n for n in PLACE if n in use)]
+    text = [FEATURES.index(n) for n in names if n in FEATURES]
+    place = [n for n in names if n in PLACE]
+    blank = [F.lit(-1.0)] * len(text)
+    x = F.when(F.col("feats").isNotNull(), F.array(*(F.col("feats")[i] for i in text), *place)).otherwise(F.array(*blank, *place))
+    rows = rows.select("path", "label", "vendored", "bytes", x.alias("x"), F.col("feats").isNotNull().alias("read"))
     labelled = rows.where(F.col("label").isNotNull() & F.col("read"))
     train = labelled.orderBy(F.xxhash64("path", "x"), "path").limit(train_rows).select("label", "x")
-    unread = train.select("label", F.concat(blank, F.slice("x", len(FEATURES) + 1, 2), F.array(F.lit(0.0), F.lit(0.0))).alias("x"))
+    unread = train.select("label", F.array(*blank, *(F.col("x")[len(text) + i] if n != "overlap" else F.lit(0.0) for i, n in enumerate(place))).alias("x"))
     spark = files.sparkSession
-    blobs = spark.createDataFrame([(1.0, [*map(float, b), 0.0, 0.0, 0.0, 0.0]) for b in data_blobs()], "label double, x array<double>")
-    train = cut(train.unionByName(unread).unionByName(blobs).select("label", array_to_vector("x").alias("features")))
+    blobs = spark.createDataFrame([(1.0, [*(float(b[i]) for i in text), *(0.0 for _ in place)]) for b in data_blobs()], "label double, x array<double>")
+    train = stored(train.unionByName(unread).unionByName(blobs)).select("label", array_to_vector("x").alias("features"))
     if train.select("label").distinct().count() < 2:
         scored = rows.withColumn("p", F.lit(None).cast("double"))
     else:
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(train)
         scored = model.transform(rows.withColumn("features", array_to_vector("x"))).withColumn("p", vector_to_array("probability")[1])
-    return scored.groupBy("path").agg(F.avg("p").alias("score"), F.max(F.coalesce(F.col("label") == 1.0, F.lit(False))).alias("said"), F.max(F.element_at("x", len(FEATURES) + 1)).alias("vendored"),
-                                      F.max(F.element_at("x", len(FEATURES))).alias("log_size"))
+    return scored.groupBy("path").agg(F.avg("p").alias("score"), F.max(F.coalesce(F.col("label") == 1.0, F.lit(False))).alias("noticed"), F.max("vendored").alias("vendored"), F.max("bytes").alias("bytes"))
 
 
-def not_handwritten(files: DataFrame, contents: DataFrame, threshold: float = 0.5, **forest) -> DataFrame:
-    """Distinct plain paths of files no person of the repository wrote: those the forest votes for
-    and those whose own notice says so. A repository's small JSON and TOML stays."""
-    j = judged_paths(files, contents, **forest)
-    config = F.col("path").rlike(_CONFIG) & (F.col("vendored") == 0) & (F.col("log_size") <= math.log2(SMALL_CONFIG))
-    return j.where(((F.col("score") >= threshold) | F.col("said")) & ~config).select("path")
+def not_handwritten(files: DataFrame, contents: DataFrame, threshold: float = 0.5, small_config: int = SMALL_CONFIG, **forest) -> DataFrame:
+    """Distinct plain paths of files no person of the repository wrote: those the forest votes for,
+    but for JSON and TOML outside vendor directories of up to ``small_config`` bytes in every
+    version, which is a repository's own by definition."""
+    j = judged_paths(files, contents, small_config=small_config, **forest)
+    own = F.col("path").rlike(_CONFIG) & (F.col("vendored") == 0) & (F.coalesce("bytes", F.lit(0)) <= small_config)
+    return j.where((F.col("score") >= threshold) & ~own).select("path")
