@@ -1,9 +1,11 @@
 """Bounded walks over typed edges.
 
-A walk is a loop on the driver with one job per hop: the frontier joins the admitted edges, new
-nodes are kept by an anti-join with what has been reached, and the result is cut from its
-lineage. Frontiers and visited sets stay distributed; only counts come back. Edges of a hub are
-split by AQE's skew join, and ``distinct`` combines on the map side.
+A walk is a loop on the driver with two jobs per hop: the frontier joins the admitted edges, new
+nodes are kept by an anti-join with what has been reached, and the ring is written to the checkpoint
+folder. The edges are projected once per walk, laid out by the end the walk stands on, and kept;
+what executors lose of them is computed again. Frontiers and visited sets stay distributed and are
+broadcast while they are small; only counts come back. Edges of a hub are split by AQE's skew join,
+and ``distinct`` combines on the map side.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.functions.lineage import cut
+from spandrel.functions.lineage import broadcast_if_small, cut, stored
 
 
 def edge_admits(kinds: Sequence[str] = (), min_confidence: float = 0.0) -> Column:
@@ -45,15 +47,20 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "in", max_dept
     if direction == "both":
         both = [traverse(edges, seeds, x, max_depth, kinds, min_confidence, keep_seeds) for x in ("in", "out")]
         return both[0].unionByName(both[1]).groupBy("symbol").agg(F.min("depth").alias("depth"))
-    e = _oriented(edges.where(edge_admits(kinds, min_confidence)), direction)
-    frontier = cut(seeds.select("symbol").where(F.col("symbol").isNotNull()).distinct())
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        step = e.join(frontier, F.col("here") == F.col("symbol")).select(F.col("there").alias("symbol")).distinct()
-        frontier = cut(step.join(seen.select("symbol"), "symbol", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    e = _oriented(edges.where(edge_admits(kinds, min_confidence)), direction).repartition("here").persist()
+    try:
+        frontier = stored(seeds.select("symbol").where(F.col("symbol").isNotNull()).distinct())
+        seen, reached, n = frontier.withColumn("depth", F.lit(0)), 0, frontier.count()
+        for depth in range(1, max_depth + 1):
+            reached += n
+            step = e.join(broadcast_if_small(frontier, n), F.col("here") == F.col("symbol")).select(F.col("there").alias("symbol")).distinct()
+            frontier = stored(step.join(broadcast_if_small(seen.select("symbol"), reached), "symbol", "left_anti"))
+            n = frontier.count()
+            if not n:
+                break
+            seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    finally:
+        e.unpersist()
     return seen if keep_seeds else seen.where(F.col("depth") > 0)
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from spandrel.functions.lineage import checkpoint_dir, cut
+from spandrel.functions.lineage import broadcast_if_small, cut, discard, stored
+from spandrel.operators.textsearch import top_k
 
 
 def _links(edges: DataFrame, kinds: Sequence[str]) -> DataFrame:
@@ -25,29 +25,38 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     Self-loops are dropped, parallel edges kept; edges to unknown nodes are ignored; what dangling
     nodes hold goes back through the teleport vector, which favours ``seeds`` if given.
     """
+    spark = nodes.sparkSession
     ids = nodes.select("symbol").where(F.col("symbol").isNotNull()).distinct()
     if seeds is None:
         w = ids.withColumn("w", F.lit(1.0))
     else:
         w = ids.join(seeds.select("symbol").distinct().withColumn("s", F.lit(True)), "symbol", "left").select("symbol", F.when(F.col("s"), seed_weight).otherwise(1.0).alias("w"))
-    total = w.agg(F.sum("w")).first()[0]
-    if not total:
+    numbered = stored(w.withColumn("id", F.monotonically_increasing_id()))
+    n, total = numbered.agg(F.count("*"), F.sum("w")).first()
+    if not n:
         return ids.withColumn("score", F.lit(0.0))
-    links = _links(edges, kinds).join(ids.withColumnRenamed("symbol", "source"), "source", "left_semi").join(ids.withColumnRenamed("symbol", "target"), "target", "left_semi")
-    out = links.groupBy("source").agg(F.count("*").alias("out"))
-    uniform = 1.0 / ids.count()
-    state = cut(w.join(out.withColumnRenamed("source", "symbol"), "symbol", "left").select("symbol", (F.col("w") / total).alias("teleport"), "out", F.lit(uniform).alias("rank"), F.lit(0.0).alias("was")))
+    place = lambda c: broadcast_if_small(numbered.select(F.col("symbol").alias(c), F.col("id").alias(f"{c}_id")), n)
+    links = _links(edges, kinds).join(place("source"), "source").join(place("target"), "target").select("source_id", "target_id")
     # laid out by source once, so that only shares and gains are shuffled in a round
-    links = cut(links.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source").sortWithinPartitions("source"))
-    for i in range(iterations):
-        now = state.agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change")).first()
-        if i and now.change < epsilon:
+    links = links.repartition("source_id").persist()
+    out = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("out"))
+    base = numbered.join(broadcast_if_small(out, n), "id", "left").select("id", (F.col("w") / total).alias("teleport"), "out", F.lit(1.0 / n).alias("rank"))
+    held = F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling")
+    state = stored(base)
+    dangling = state.agg(held).first()[0]
+    for _ in range(iterations):
+        share = state.where(F.col("out").isNotNull()).select(F.col("id").alias("source_id"), (F.col("rank") / F.col("out")).alias("share"))
+        gained = links.join(broadcast_if_small(share, n), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("gain"))
+        fresh = (1 - damping + damping * dangling) * F.col("teleport") + damping * F.coalesce("gain", F.lit(0.0))
+        now = state.join(broadcast_if_small(gained, n), "id", "left").select("id", "teleport", "out", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change"))
+        seen = Observation()  # what the next round has to know, gathered while this one is written
+        following = stored(now.observe(seen, held, F.sum("change").alias("change")).drop("change"))
+        discard(state)
+        state, dangling = following, seen.get["dangling"]
+        if seen.get["change"] < epsilon:
             break
-        share = state.where(F.col("out").isNotNull()).select(F.col("symbol").alias("source"), (F.col("rank") / F.col("out")).alias("share"))
-        gained = links.join(share, "source").groupBy(F.col("target").alias("symbol")).agg(F.sum("share").alias("gain"))
-        fresh = (1 - damping + damping * now.dangling) * F.col("teleport") + damping * F.coalesce("gain", F.lit(0.0))
-        state = cut(state.join(gained, "symbol", "left").select("symbol", "teleport", "out", fresh.alias("rank"), F.col("rank").alias("was")))
-    return state.select("symbol", F.col("rank").alias("score"))
+    links.unpersist()
+    return numbered.join(state, "id").select("symbol", F.col("rank").alias("score"))
 
 
 def modularity(edges: DataFrame, assignment: DataFrame, gamma: float = 1.0, kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:
@@ -55,25 +64,28 @@ def modularity(edges: DataFrame, assignment: DataFrame, gamma: float = 1.0, kind
     assigned; null without such edges."""
     a = assignment.select("symbol", "community")
     e = _links(edges, kinds).join(a.toDF("source", "cs"), "source").join(a.toDF("target", "ct"), "target")
-    m = e.agg(F.count("*").alias("m"))
-    inside = e.where(F.col("cs") == F.col("ct")).groupBy(F.col("cs").alias("c")).agg(F.count("*").alias("l"))
-    degree = e.select(F.explode(F.array("cs", "ct")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
-    per = degree.join(inside, "c", "left").agg(F.sum(F.coalesce("l", F.lit(0))).alias("l"), F.sum(F.col("d").cast("double") * F.col("d")).alias("dd"))
-    mm = m.first()[0]
-    if not mm:
-        return per.select(F.lit(None).cast("double").alias("q"))
-    return per.select((F.col("l") / mm - gamma * F.col("dd") / (4.0 * mm * mm)).alias("q"))
+    pairs = e.groupBy("cs", "ct").agg(F.count("*").alias("n"))  # all that is left to know, in one pass over the edges
+    inside = F.when(F.col("cs") == F.col("ct"), F.col("n")).otherwise(0)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("cs").alias("c"), "n", inside.alias("l")), F.struct(F.col("ct").alias("c"), "n", F.lit(0).cast("bigint").alias("l")))).alias("x"))
+    per = ends.groupBy("x.c").agg(F.sum("x.n").alias("d"), F.sum("x.l").alias("l"))
+    t = per.agg(F.sum("l").alias("l"), F.sum(F.col("d").cast("double") * F.col("d")).alias("dd"), (F.sum("d") / 2.0).alias("m"))
+    return t.select((F.col("l") / F.col("m") - gamma * F.col("dd") / (4.0 * F.col("m") * F.col("m"))).alias("q"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(symbol, component): the least symbol of each connected component, edges (source, target).
 
-    Alternating large-star and small-star steps on the edge list: the number of rounds grows with
-    the logarithm of the graph, and stars keep hubs from being joined with themselves.
+    Alternating large-star and small-star steps on the edge list, with numbers for symbols: the
+    number of rounds grows with the logarithm of the graph, and stars keep hubs from being joined
+    with themselves. A round is settled when it hands on the edges it was given; it raises if
+    ``max_rounds`` don't suffice.
     """
-    e = edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    alone = e.select(F.explode(F.array("u", "v")).alias("symbol")).distinct()
-    e = cut(e.where(F.col("u") != F.col("v")).distinct())
+    ends = edges.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull())
+    names = stored(ends.select(F.explode(F.array("source", "target")).alias("symbol")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    n = names.count()
+    place = lambda c: broadcast_if_small(names.select(F.col("symbol").alias(c), F.col("id").alias(f"{c}_id")), n)
+    e = ends.join(place("source"), "source").join(place("target"), "target").select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v"))
+    e = stored(e.where(F.col("u") != F.col("v")).distinct())
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -81,13 +93,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        seen = Observation()  # a fingerprint of the edges, taken while they are written
+        following = stored(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        discard(e)
+        e, now = following, (seen.get["n"], seen.get["sum"])
+        if now == last or not now[0]:
             break
         last = now
-    root = e.groupBy("u").agg(F.min("v").alias("component"))
-    return alone.join(root.withColumnRenamed("u", "symbol"), "symbol", "left").select("symbol", F.coalesce("component", "symbol").alias("component"))
+    else:
+        raise RuntimeError(f"components still grow after {max_rounds} rounds")
+    root = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("r"))
+    member = names.join(broadcast_if_small(root, n), "id", "left").select("symbol", F.coalesce("r", "id").alias("r"))
+    least = member.groupBy("r").agg(F.min("symbol").alias("component"))
+    return member.join(least, "r").select("symbol", "component")
 
 
 #: Levels of at most so many links (each in both directions) settle on the driver, node by node.
@@ -121,14 +139,6 @@ def _settled_in_order(w: DataFrame, two_m: float, gamma: float) -> tuple[DataFra
     return w.sparkSession.createDataFrame([(a, k[a], c[a]) for a in near], w.select("a", F.col("w").alias("k"), F.col("a").alias("c")).schema), moves
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as a file in the checkpoint folder: a checkpoint hands on what the plan says of itself,
-    which in a loop of many joins grows until planning stalls."""
-    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _settled(w: DataFrame, two_m: float, gamma: float, rounds: int, few: int) -> tuple[DataFrame, int]:
     """((a, k, c), moves): the nodes of ``w`` (a, b, w), each first alone, moved to neighbouring
     communities until none gains from a move. Gain is the weight to a community's nodes less
@@ -142,9 +152,9 @@ def _settled(w: DataFrame, two_m: float, gamma: float, rounds: int, few: int) ->
     if w.count() <= few:
         return _settled_in_order(w, two_m, gamma)
     spark = w.sparkSession
-    state = _stored(w.groupBy("a").agg(F.sum("w").alias("k")).select("a", "k", F.col("a").alias("c")))
+    state = stored(w.groupBy("a").agg(F.sum("w").alias("k")).select("a", "k", F.col("a").alias("c")))
     # laid out by neighbour once, so that only communities and their weights are shuffled in a round
-    links = _stored(w.where(F.col("a") != F.col("b")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b").sortWithinPartitions("b"))
+    links = stored(w.where(F.col("a") != F.col("b")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b").sortWithinPartitions("b"))
     moves = 0
     for i in range(rounds):
         total = state.groupBy("c").agg(F.sum("k").alias("t"))
@@ -158,18 +168,18 @@ def _settled(w: DataFrame, two_m: float, gamma: float, rounds: int, few: int) ->
             F.coalesce(F.max(F.when(here, F.col("inner"))), F.lit(0.0)).alias("held"), F.max(F.when(~here, value)).alias("most"),
             F.min(F.when(~here & (coin("now") == 0) & (coin("c") == 1), F.struct((-value).alias("n"), "c"))).alias("x"))
         stay = F.col("held") + F.col("alone")
-        best = _stored(best.where(F.col("most") > stay + 1e-12).select("a", "k", "now", F.col("x.c").alias("c"), (-F.col("x.n") - stay).alias("gain")))
+        best = stored(best.where(F.col("most") > stay + 1e-12).select("a", "k", "now", F.col("x.c").alias("c"), (-F.col("x.n") - stay).alias("gain")))
         if best.isEmpty():
             return state, moves
         go = best.where(F.col("c").isNotNull() & (F.col("gain") > 1e-12))
         if gamma:
             before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("gain"), "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
             go = go.withColumn("j", before("c")).withColumn("l", before("now")).where(F.col("gain") - gamma * F.col("k") * (F.col("j") + F.col("l")) / two_m > 1e-12)
-        go = _stored(go.select("a", F.col("c").alias("to")))
+        go = stored(go.select("a", F.col("c").alias("to")))
         moved = go.count()
         if moved:
             moves += moved
-            state = _stored(state.join(go, "a", "left").select("a", "k", F.coalesce("to", "c").alias("c")))
+            state = stored(state.join(go, "a", "left").select("a", "k", F.coalesce("to", "c").alias("c")))
     raise RuntimeError(f"nodes still move after {rounds} rounds")
 
 
@@ -218,12 +228,12 @@ def vector_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataF
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "id"))), 1, k).alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", "t.id", (-F.col("t.n")).alias("score"), (F.col("p") + 1).alias("rank"))
+    return top_k(out, k).select("query_id", "id", "score", "rank")
 
 
 def _nearest_in(block: pd.DataFrame, k: int):
-    """Neighbours for a block of queries; only vectors of a query's own length are compared."""
+    """Neighbours for a block of queries, the k best of a partition; only vectors of a query's own
+    length are compared."""
     groups = {}
     for dim, good in block.groupby(block["v"].map(len)):
         qm = np.array(good["v"].tolist(), np.float64).reshape(len(good), dim)
@@ -231,20 +241,28 @@ def _nearest_in(block: pd.DataFrame, k: int):
         if (qn > 0).any():
             groups[dim] = qm[qn > 0] / qn[qn > 0, None], good["query_id"].to_numpy()[qn > 0]
 
+    def best(s, own):
+        order = np.lexsort((own, -s), axis=1)[:, :k]
+        return np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+
     def run(frames):
+        kept = {}
         for whole in frames:
-            for dim, (qm, ids) in groups.items():
+            for dim, (qm, _) in groups.items():
                 f = whole[[len(v) == dim for v in whole["v"]]]
                 if f.empty:
                     continue
                 m = np.array(f["v"].tolist(), np.float64)
                 n = np.linalg.norm(m, axis=1)
-                m, own = m[n > 0] / n[n > 0, None], f["id"].to_numpy()[n > 0]
-                s = np.round(qm @ m.T, 12)
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                cols = order.ravel()
-                yield pd.DataFrame({"query_id": ids[rows], "id": own[cols], "score": s[rows, cols]})
+                if not (n > 0).any():
+                    continue
+                s = np.round(qm @ (m[n > 0] / n[n > 0, None]).T, 12)
+                own = np.broadcast_to(f["id"].to_numpy()[n > 0], s.shape)
+                if dim in kept:
+                    s, own = np.hstack((kept[dim][0], s)), np.hstack((kept[dim][1], own))
+                kept[dim] = best(s, own)
+        for dim, (s, own) in kept.items():
+            yield pd.DataFrame({"query_id": np.repeat(groups[dim][1], s.shape[1]), "id": own.ravel(), "score": s.ravel()})
 
     return run
 
@@ -289,13 +307,16 @@ def kmeans_cosine(vectors: DataFrame, k: int = 16, iterations: int = 10) -> Data
     return v.select("id", scores(cents)("v")["c"].alias("cluster"))
 
 
-def dbscan_cosine(vectors: DataFrame, eps: float = 0.25, min_points: int = 3) -> DataFrame:
+def dbscan_cosine(vectors: DataFrame, eps: float = 0.25, min_points: int = 3, most: int = 500_000) -> DataFrame:
     """(id, cluster): density clusters by cosine distance, named by their least core id; noise is
     left out; a border point joins the least cluster among its core neighbours.
 
-    Neighbour pairs come from :func:`range_pairs`, which multiplies blocks; core points are joined
-    into components by their links.
+    Neighbour pairs come from :func:`range_pairs`, which multiplies blocks: work grows with the
+    square of the number of vectors, so more than ``most`` are refused. Core points are joined into
+    components by their links.
     """
+    if vectors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} vectors")
     pairs = cut(range_pairs(vectors, 1 - eps))
     count = pairs.groupBy("a").agg(F.count("*").alias("n"))
     core = cut(count.where(F.col("n") >= min_points).select(F.col("a").alias("id")))

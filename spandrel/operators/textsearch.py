@@ -50,7 +50,8 @@ def rarest_terms(index: DataFrame, ids: DataFrame, n: int = 8) -> DataFrame:
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best per query: score falling, id rising."""
+    """The ``k`` best per query: score falling, id rising. Each partition of the input is cut to its
+    own k best before anything is shuffled."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

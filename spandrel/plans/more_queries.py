@@ -51,12 +51,15 @@ def embedded_regions(spark, d):
     return X.embedded_regions(docs).select("id", "ordinal", "tag", F.length("text").alias("n"))
 
 
-@query(f"""WITH {_TEXTS}, p(ext, rx) AS (VALUES ('py', '(?m)^[ \\t]*(?:async )?def (\\w+)\\('), ('rs', '(?m)^[ \\t]*(?:pub )?fn (\\w+)'), ('go', '(?m)^func (\\w+)\\('), ('rb', '(?m)^[ \\t]*def (\\w+)'))
+@query(f"""WITH {_TEXTS}
 SELECT path, name, count(*) AS n FROM (
  SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*(?:async )?def (\\w+)\\(', 1)) AS name FROM tx WHERE ends_with(path, '.py') UNION ALL
  SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*(?:pub )?fn (\\w+)', 1)) FROM tx WHERE ends_with(path, '.rs') UNION ALL
  SELECT path, unnest(regexp_extract_all(blob, '(?m)^func (\\w+)\\(', 1)) FROM tx WHERE ends_with(path, '.go') UNION ALL
- SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*def (\\w+)', 1)) FROM tx WHERE ends_with(path, '.rb')) GROUP BY ALL""")
+ SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*def (\\w+)', 1)) FROM tx WHERE ends_with(path, '.rb') UNION ALL
+ SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*(?:export )?function (\\w+)\\(', 1)) FROM tx WHERE ends_with(path, '.js') OR ends_with(path, '.ts') UNION ALL
+ SELECT path, unnest(regexp_extract_all(blob, '(?m)^[ \\t]*static \\w+ (\\w+)\\(', 1)) FROM tx WHERE ends_with(path, '.java') UNION ALL
+ SELECT path, unnest(regexp_extract_all(blob, '(?m)^(\\w+)\\(\\) \\{{', 1)) FROM tx WHERE ends_with(path, '.sh')) GROUP BY ALL""")
 def source_definitions(spark, d):
     """Definitions in every stored text of eight languages, found by pattern."""
     lang = F.create_map(*map(F.lit, ("py", "python", "rs", "rust", "go", "go", "rb", "ruby", "js", "javascript", "ts", "typescript", "java", "java", "sh", "shell")))[F.regexp_extract("path", r"\.(\w+)$", 1)]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.lineage import stored
 from spandrel.functions.text import blank_to_null, plain_path
 from spandrel.operators import graph as G
 from spandrel.operators import lookup as L
@@ -308,13 +309,13 @@ def neighbors(spark, d):
 
 
 for _name, _in, _out in (("entrypoints", True, False), ("leaves", False, True), ("isolated", True, True)):
-    _cond = " AND ".join(f"NOT EXISTS (SELECT 1 FROM e WHERE e.{c} = n.symbol)" for w, c in ((_in, "target"), (_out, "source")) if w)
+    _ends = [c for w, c in ((_in, "target"), (_out, "source")) if w]
 
     def _shape(spark, d, incoming=_in, outgoing=_out):
         return G.without_edges(graph_nodes(spark, d), graph_edges(spark, d), incoming=incoming, outgoing=outgoing).select("symbol")
 
     QUERIES[_name] = _shape
-    ORACLE[_name] = f"{GRAPH_SQL} SELECT symbol FROM n WHERE {_cond}"
+    ORACLE[_name] = f"{GRAPH_SQL}, x AS MATERIALIZED (" + " UNION ".join(f"SELECT {c} AS symbol FROM e WHERE kind IN ('calls', 'imports')" for c in _ends) + ") SELECT symbol FROM n ANTI JOIN x USING (symbol)"
 
 
 @query(f"{GRAPH_SQL}, k AS (SELECT symbol FROM n WHERE kind <> 'struct') SELECT source, target, kind FROM e WHERE source IN (SELECT symbol FROM k) AND target IN (SELECT symbol FROM k)")
@@ -335,7 +336,7 @@ def knowledge_neighbors(spark, d):
 
 # ------------------------------------------------------------------ ranking and clusters
 
-_STEPS = 6  # of the SQL alone, which stops short of what the query computes
+_STEPS = 30  # the most the operator takes; on the tables' graph the change stays above its epsilon until then
 
 
 def _pagerank_sql() -> str:
@@ -499,7 +500,7 @@ q AS (SELECT id AS query_id, term FROM (SELECT id, term, row_number() OVER (PART
 
 def _search(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
-    index = T.postings(docs)
+    index = stored(T.postings(docs))
     return T.bm25(index, T.rarest_terms(index, docs.where(F.col("id") % 50 == 0).select("id")), k)
 
 
@@ -531,14 +532,9 @@ def rrf(spark, d):
     return T.rrf([ranked("value"), ranked("ts")])
 
 
-_TRI = """list_distinct([substr('  ' || {0} || ' ', i, 3) FOR i IN range(1, length({0}) + 2)])"""
-
-
-@query(f"""WITH {_CODE}, m AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS name FROM code), a AS (SELECT name, {_TRI.format('name')} AS g FROM m WHERE name <> ''),
-p AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS probe FROM code WHERE kind = 'method' AND language = 'java'), b AS (SELECT probe, {_TRI.format('probe')} AS h FROM p WHERE probe <> '')
-SELECT probe, name, round(CASE WHEN probe = name THEN 1 ELSE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) END, 6) AS score FROM a, b
-WHERE probe = name OR len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) >= 0.7""")
+@query()
 def fuzzy_candidates(spark, d):
+    """Every name against every name; SQL would need all pairs, so tests compare with brute force."""
     n = code_nodes(spark, d)
     return T.fuzzy_candidates(n.select("name"), n.select(F.col("name").alias("probe"))).withColumn("score", F.round("score", 6))
 
