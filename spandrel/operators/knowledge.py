@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from spandrel.operators import textsearch as T
 
 #: Verbs that say little at the front of a name (fixed values).
-LEADING = ("get", "set", "is", "has", "do", "make", "run")
+LEADING = ("get", "set", "is", "has", "do", "on", "to", "from", "with", "make", "build")
+#: Names of types that mean the same in several languages (fixed values).
+TYPES = {"STR": ("string", "str", "varchar"), "INT": ("int", "i32", "i64", "long", "integer", "number"), "BOOL": ("bool", "boolean"), "FLOAT": ("float", "f32", "f64", "double"), "VOID": ("void", "unit", "none")}
+#: Pairs of kinds that are nearly the same, and somewhat (fixed values).
+NEAR = (("function", "method"), ("function", "constructor"))
+AKIN = (("class", "struct"), ("class", "trait"), ("class", "interface"), ("struct", "trait"), ("interface", "trait"), ("module", "namespace"))
 
 
 def name_tokens(c: Column | str) -> Column:
@@ -23,15 +28,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0))
 
 
+def signature_tokens(signature: Column) -> Column:
+    """Words of a signature with two letters or more, types folded across languages."""
+    fold = F.create_map(*(F.lit(x) for to, names in TYPES.items() for n in names for x in (n, to)))
+    words = F.filter(T.terms(F.coalesce(signature, F.lit(""))), lambda w: F.length(w) > 1)
+    return F.array_distinct(F.transform(words, lambda w: F.coalesce(fold[w], w)))
+
+
 def arity(signature: Column) -> Column:
-    """Parameters of a signature without nesting."""
-    inner = F.trim(F.regexp_extract(signature, r"\(([^()]*)\)", 1))
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, ",")))
+    """Parameters of a signature: commas outside inner brackets and one more; null without any
+    parentheses."""
+    inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
+    for _ in range(6):  # innermost brackets first; deeper nesting than this is taken as it is
+        inner = F.regexp_replace(inner, r"\([^()\[\]{}<>]*\)|\[[^()\[\]{}<>]*\]|\{[^()\[\]{}<>]*\}|<[^()\[\]{}<>]*>", "")
+    given = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
+    return F.when(signature.rlike(r"(?s)\(.*\)"), F.when(F.trim(given) == "", 0).otherwise(F.size(F.split(inner, ","))))
 
 
 def kind_match(a: Column, b: Column) -> Column:
-    near = F.array(F.lit("function"), F.lit("method"))
-    return F.when(a == b, 1.0).when(F.array_contains(near, a) & F.array_contains(near, b), 0.8).otherwise(0.0)
+    """1 for the same kind, 0.8 and 0.6 for nearer and remoter relatives, else 0."""
+    pair = F.array_join(F.array_sort(F.array(a, b)), " ")
+    said = lambda pairs: pair.isin(*(" ".join(sorted(p)) for p in pairs))
+    return F.when(a == b, 1.0).when(said(NEAR), 0.8).when(said(AKIN), 0.6).otherwise(0.0)
 
 
 def correspond(left: DataFrame, right: DataFrame, k: int = 20, least: float = 0.35, pool: int = 20) -> DataFrame:
@@ -51,8 +69,9 @@ def correspond(left: DataFrame, right: DataFrame, k: int = 20, least: float = 0.
     a = l.select(F.col("symbol"), F.col("name").alias("ln"), F.col("kind").alias("lk"), F.col("signature").alias("ls"))
     b = r.select(F.col("symbol").alias("match"), F.col("name").alias("rn"), F.col("kind").alias("rk"), F.col("signature").alias("rs"))
     j = a.join(names, "ln").join(b, "rn").withColumn("km", kind_match(F.col("lk"), F.col("rk"))).where(F.col("km") > 0)
-    sig = lambda c: F.array_distinct(T.terms(F.coalesce(c, F.lit(""))))
-    score = 0.5 * jaccard(name_tokens("ln"), name_tokens("rn")) + 0.25 * jaccard(sig("ls"), sig("rs")) + 0.15 * F.col("km") + 0.10 * (arity(F.coalesce("ls", F.lit(""))) == arity(F.coalesce("rs", F.lit("")))).cast("int")
+    sig = lambda c: signature_tokens(F.col(c))
+    same_arity = F.coalesce((arity(F.col("ls")) == arity(F.col("rs"))).cast("int"), F.lit(0))
+    score = 0.5 * jaccard(name_tokens("ln"), name_tokens("rn")) + 0.25 * jaccard(sig("ls"), sig("rs")) + 0.15 * F.col("km") + 0.10 * same_arity
     j = j.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
     w = Window.partitionBy("symbol").orderBy(F.desc("score"), "match")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("symbol", "match", "score", "rank")

@@ -34,9 +34,10 @@ def final_score(rrf: Column, tier: Column, recency: Column, salience_: Column, s
 def budget_pack(ranked: DataFrame, budget: int) -> DataFrame:
     """Greedy packing per query in rank order: what doesn't fit is skipped, smaller ones after it
     may still fit. ``ranked`` (query_id, id, rank, cost), a bounded list per query."""
+    kind = ranked.schema["id"].dataType.simpleString()
     item = F.array_sort(F.collect_list(F.struct("rank", "id", "cost")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda a, x: F.when(a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["ids"], F.array(x["id"].cast("bigint"))).alias("ids"))).otherwise(a)
+    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{kind}>").alias("ids"))
+    step = lambda a, x: F.when(a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
     g = ranked.withColumn("cost", F.col("cost").cast("bigint")).groupBy("query_id").agg(F.aggregate(item, zero, step).alias("p"))
     return g.select("query_id", F.posexplode("p.ids").alias("position", "id"))
 

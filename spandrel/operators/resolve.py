@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.lineage import broadcast_if_small
+
 
 def resolve_name(refs: DataFrame, nodes: DataFrame, confidence: float = 0.6) -> DataFrame:
     """(ref_id, target, confidence, resolved_by): names with exactly one candidate, never itself.
@@ -90,12 +92,104 @@ def resolve_relative_import(refs: DataFrame, files: DataFrame, confidence: float
 
 
 def resolve_infra(refs: DataFrame, nodes: DataFrame, kind: str = "resource") -> DataFrame:
-    """References to a name exactly one resource bears, unless code bears it too."""
+    """References to a name exactly one resource bears, if no code bears it or a resource refers."""
     g = nodes.where(F.col("name").isNotNull()).groupBy("name").agg(
         F.countDistinct(F.when(F.col("kind") == kind, F.col("symbol"))).alias("resources"), F.min(F.when(F.col("kind") == kind, F.col("symbol"))).alias("target"), F.count(F.when(F.col("kind") != kind, 1)).alias("code"))
     ok = g.where(F.col("resources") == 1)
-    j = refs.join(ok, refs["raw_name"] == ok["name"]).where((F.col("code") == 0) & (F.col("target") != F.col("from_symbol")))
-    return j.select("ref_id", "target", F.lit(0.6).alias("confidence"), F.lit("infra").alias("resolved_by"))
+    mine = nodes.where(F.col("kind") == kind).select(F.col("symbol").alias("from_symbol"), F.lit(True).alias("by_resource")).distinct()
+    j = refs.join(ok, refs["raw_name"] == ok["name"]).where(F.col("target") != F.col("from_symbol")).join(mine, "from_symbol", "left")
+    return j.where((F.col("code") == 0) | F.col("by_resource")).select("ref_id", "target", F.lit(1.0).alias("confidence"), F.lit("infra").alias("resolved_by"))
+
+
+def resolve_rules_bridge(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References to a rules engine (``rules-engine:<name>``) bind to every rule set there is, each
+    pair once, never to themselves: an equi-join on that both are what they are, rule sets broadcast
+    while few."""
+    marked = refs.where(F.col("raw_name").startswith("rules-engine:")).select("ref_id", "from_symbol", F.lit(1).alias("bridge"))
+    sets = nodes.where(F.col("kind") == "rule_set").select(F.col("symbol").alias("target"), F.lit(1).alias("bridge")).distinct()
+    j = marked.join(broadcast_if_small(sets), "bridge").where(F.col("target") != F.col("from_symbol"))
+    return j.select("ref_id", "target").distinct().select("ref_id", "target", F.lit(0.5).alias("confidence"), F.lit("rules_bridge").alias("resolved_by"))
+
+
+def resolve_dynamic_call(refs: DataFrame, nodes: DataFrame, languages: tuple[str, ...] = ("cobol", "hlasm", "pli")) -> DataFrame:
+    """References ``dynamic:<name>``: the one module of a program language with that name, case
+    aside; several leave it open, and so does the caller's own."""
+    n = nodes.where((F.col("kind") == "module") & F.col("language").isin(*languages)).groupBy(F.lower("name").alias("key")).agg(F.countDistinct("symbol").alias("n"), F.min("symbol").alias("target")).where(F.col("n") == 1)
+    r = refs.where(F.col("raw_name").startswith("dynamic:")).withColumn("key", F.lower(F.expr("substring(raw_name, 9)")))
+    return r.join(n, "key").where(F.col("target") != F.col("from_symbol")).select("ref_id", "target", F.lit(0.5).alias("confidence"), F.lit("dynamic_call").alias("resolved_by"))
+
+
+def resolve_component(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References ``<scope>|<type>|<slug>`` to components of an application: the one node of that
+    name whose symbol starts with the scope and whose type (metadata) is the one named; typed ones
+    are certain, without a type 0.5."""
+    part = F.split("raw_name", r"\|")
+    r = refs.where(F.size(part) == 3).select("ref_id", "from_symbol", part[0].alias("in_scope"), F.nullif(part[1], F.lit("")).alias("wanted"), part[2].alias("name"))
+    n = nodes.select("symbol", "name", F.col("type").alias("has")).distinct()
+    j = r.join(n, "name").where(F.expr("startswith(symbol, in_scope)") & (F.col("wanted").isNull() | (F.col("wanted") == F.col("has"))))
+    one = j.groupBy("ref_id", "from_symbol", "wanted").agg(F.countDistinct("symbol").alias("n"), F.min("symbol").alias("target")).where((F.col("n") == 1) & (F.col("target") != F.col("from_symbol")))
+    return one.select("ref_id", "target", F.when(F.col("wanted").isNotNull(), 1.0).otherwise(0.5).alias("confidence"), F.lit("component").alias("resolved_by"))
+
+
+def rules_inventory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule_set, callers, grouped, ungrouped) of every rule set: who invokes it (sorted), its rules
+    inside rule groups and those directly in it. ``contains`` counts in either direction."""
+    sets = nodes.where(F.col("kind") == "rule_set").select(F.col("symbol").alias("rule_set")).distinct()
+    called = edges.where(F.col("kind") == "invoked_by").groupBy(F.col("source").alias("rule_set")).agg(F.array_sort(F.collect_set("target")).alias("callers"))
+    c = edges.where(F.col("kind") == "contains").select("source", "target")
+    c = c.unionByName(c.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    kinds = nodes.select(F.col("symbol").alias("target"), F.col("kind").alias("k")).distinct()
+    inside = c.join(kinds, "target")
+    direct = sets.join(inside, F.col("source") == F.col("rule_set"))
+    rules = direct.where(F.col("k") == "rule").select("rule_set", F.col("target").alias("rule"), F.lit(0).alias("grouped"))
+    groups = direct.where(F.col("k") == "rule_group").select("rule_set", F.col("target").alias("g"))
+    below = groups.join(inside.where(F.col("k") == "rule").select(F.col("source").alias("g"), F.col("target").alias("rule")), "g").select("rule_set", "rule", F.lit(1).alias("grouped"))
+    n = rules.unionByName(below).groupBy("rule_set", "rule").agg(F.max("grouped").alias("grouped")).groupBy("rule_set").agg(F.sum("grouped").alias("grouped"), F.sum(1 - F.col("grouped")).alias("ungrouped"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return sets.join(called, "rule_set", "left").join(n, "rule_set", "left").select("rule_set", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"), zero("grouped"), zero("ungrouped"))
+
+
+def repo_identity(url: Column) -> Column:
+    """host/owner/name of a repository's address, however it is written; lower case, no ``.git``."""
+    c = F.regexp_replace(F.lower(F.trim(url)), r"^(?:git\+)?[a-z]+://(?:[^/@]*@)?|^[^/@:]+@", "")
+    return F.regexp_replace(F.regexp_replace(c, r"^([^/:]+):(?:\d+/)?", "$1/"), r"(?:\.git)?/*(?:#.*)?$", "")
+
+
+def package_identity(ecosystem: Column, name: Column) -> Column:
+    """A package's name as its ecosystem compares it: Python folds case and runs of ``-_.``, Cargo
+    takes ``_`` for ``-``, npm is exact."""
+    return F.when(ecosystem == "python", F.regexp_replace(F.lower(name), "[-_.]+", "-")).when(ecosystem == "cargo", F.replace(name, F.lit("_"), F.lit("-"))).otherwise(name)
+
+
+def link_repos(dependencies: DataFrame, packages: DataFrame, repos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, boundaries) between repositories by their dependency manifests.
+
+    ``dependencies`` (repo, ecosystem, name, kind, source): kind path (source is a repository's name),
+    git (its address) or registry. ``packages`` (repo, ecosystem, name) are what repositories
+    provide; ``repos`` (repo, url). A dependency is a link (repo, ecosystem, name, target, kind) if
+    exactly one other repository provides the package and, for path and git, is the one named. All
+    others are boundaries with a reason: ``no_name``, ``unknown_ecosystem``, ``unknown_repository``,
+    ``not_provided``, ``ambiguous``, ``other_provider``, ``itself``.
+    """
+    d = dependencies.distinct().withColumn("key", package_identity(F.col("ecosystem"), F.col("name")))
+    p = packages.select("ecosystem", package_identity(F.col("ecosystem"), F.col("name")).alias("key"), F.col("repo").alias("provider")).distinct()
+    one = p.groupBy("ecosystem", "key").agg(F.countDistinct("provider").alias("n"), F.min("provider").alias("provider"))
+    known = repos.select(repo_identity(F.col("url")).alias("address"), F.col("repo").alias("by_address")).dropDuplicates(["address"])
+    names = repos.select(F.col("repo").alias("by_name")).distinct()
+    j = d.join(one, ["ecosystem", "key"], "left").withColumn("address", F.when(F.col("kind") == "git", repo_identity(F.col("source")))).join(known, "address", "left")
+    j = j.join(names, F.when(F.col("kind") == "path", F.col("source")) == F.col("by_name"), "left")
+    named = F.coalesce("by_address", "by_name")
+    # a repository that is named must provide the package itself, whoever else does
+    mine = p.select("ecosystem", "key", F.col("provider").alias("named")).withColumn("provides", F.lit(True))
+    j = j.withColumn("named", named).join(mine, ["ecosystem", "key", "named"], "left")
+    by_name = F.col("kind").isin("path", "git")
+    target = F.when(by_name, F.col("named")).otherwise(F.col("provider"))
+    reason = (F.when(F.col("name").isNull() | (F.trim("name") == ""), "no_name").when(~F.coalesce(F.col("ecosystem").isin("npm", "cargo", "python"), F.lit(False)), "unknown_ecosystem")
+              .when(by_name & F.col("named").isNull(), "unknown_repository").when(F.col("n").isNull(), "not_provided").when(by_name & F.col("provides").isNull(), "other_provider")
+              .when(~by_name & (F.col("n") > 1), "ambiguous").when(target == F.col("repo"), "itself"))
+    j = j.withColumn("target", target).withColumn("reason", reason)
+    cols = ["repo", "ecosystem", "name"]
+    return j.where(F.col("reason").isNull()).select(*cols, "target", "kind").distinct(), j.where(F.col("reason").isNotNull()).select(*cols, "kind", "reason").distinct()
 
 
 def edge_dedup_best(edges: DataFrame) -> DataFrame:
@@ -141,7 +235,7 @@ def resolve_glob(assets: DataFrame, profiles: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("profile", "[*%]", "")).alias("fixed"), (-F.size(F.split("profile", r"\*\*"))).alias("deep"), (-F.size(F.split("profile", r"\*"))).alias("wide")).alias("specific"))
     fixed = ~F.col("head").rlike("[*%]")
     by_head = a.join(p.where(fixed).withColumnRenamed("head", "q"), "q").where(F.expr("asset rlike rx")).select("asset", "profile", "generic", "specific")
-    loose = a.join(p.where(~fixed), F.expr("asset rlike rx")).select("asset", "profile", "generic", "specific")
+    loose = a.join(broadcast_if_small(p.where(~fixed)), F.expr("asset rlike rx")).select("asset", "profile", "generic", "specific")
     best = by_head.unionByName(loose).groupBy("asset").agg(F.max(F.struct((~F.col("generic")).alias("exact"), "specific", "profile")).alias("b"))
     return best.select("asset", "b.profile", F.when(F.col("b.exact"), 1.0).otherwise(0.5).alias("confidence"))
 

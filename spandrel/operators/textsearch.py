@@ -174,27 +174,6 @@ def hash_embedding(c: str, dim: int = 128) -> Column:
     return F.pandas_udf(run, "array<double>")(c)
 
 
-#: Shapes of credentials (fixed values); each match is masked to its length.
-TOKEN_SHAPES = (
-    r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
-    r"sk-[A-Za-z0-9]{20,}", r"AIza[0-9A-Za-z_-]{35}", r"\b[0-9a-f]{32,}\b", r"(?<=://)[^/\s:@]+:[^/\s@]+(?=@)",
-)
-_SHAPES = re.compile("|".join(TOKEN_SHAPES))
-
-
-def redact(text: str | None) -> str | None:
-    """Credentials masked by asterisks of the same length, so offsets stay valid."""
-    return None if text is None else _SHAPES.sub(lambda m: "*" * len(m.group()), text)
-
-
-def redacted(c: str) -> Column:
-    """:func:`redact`, with a JVM check first so that clean texts never reach Python's patterns."""
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(redact, na_action="ignore")
-
-    return F.pandas_udf(run, "string")(c)
-
-
 def chunk_markdown(md: str | None, most_words: int = 800) -> list[str]:
     """Pieces of a text: cut at first and second level headings outside fences, lines packed up to
     ``most_words``; an over-long line is cut at words; empty pieces are dropped."""

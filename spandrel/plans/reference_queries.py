@@ -13,6 +13,7 @@ from spandrel.operators import graph as G
 from spandrel.operators import lookup as L
 from spandrel.operators import memory as M
 from spandrel.operators import rank as K
+from spandrel.operators import redaction as D
 from spandrel.operators import resolve as R
 from spandrel.operators import supports as S
 from spandrel.operators import textsearch as T
@@ -441,14 +442,6 @@ def resolve_import_map(spark, d):
     return R.resolve_import_map(refs.where(F.col("module") != ""), code_nodes(spark, d)).select("ref_id", "target")
 
 
-@query()
-def resolve_relative_import(spark, d):
-    f = table(spark, d, "files", "path", "git_sha").where(F.col("git_sha").isNotNull()).select(plain_path("path").alias("file"), "git_sha").distinct()
-    texts = table(spark, d, "file_content").select("git_sha", F.explode(F.regexp_extract_all("blob", F.lit(r"(?:require\(|from )\"(\.\.?/[\w./-]+)\""), F.lit(1))).alias("raw_name"))
-    refs = f.join(texts, "git_sha").select("file", "raw_name").distinct().withColumn("ref_id", F.concat_ws("|", "file", "raw_name"))
-    return R.resolve_relative_import(refs, f.select(F.col("file").alias("path")))
-
-
 @query("""WITH b AS (SELECT DISTINCT trim(symbol) AS s FROM node_files WHERE symbol IS NOT NULL), l AS (SELECT DISTINCT symbol AS s FROM nodes WHERE removed_at IS NULL)
 SELECT lower(regexp_replace(coalesce(b.s, l.s), '\\[\\d+\\]$', '')) AS identity, CASE WHEN b.s IS NULL THEN 'unmanaged' WHEN l.s IS NULL THEN 'undeployed' ELSE 'managed' END AS status
 FROM b FULL JOIN l ON lower(regexp_replace(b.s, '\\[\\d+\\]$', '')) = lower(regexp_replace(l.s, '\\[\\d+\\]$', ''))""")
@@ -551,7 +544,8 @@ def name_suggest(spark, d):
 @query()
 def redact_token_shapes(spark, d):
     t = table(spark, d, "documents", "doc_id", "text")
-    return t.select("doc_id", F.md5(T.redacted("text")).alias("clean"), F.length(T.redacted("text")).alias("n"))
+    clean = t.select("doc_id", D.column(D.redact_shapes, "text").alias("t"))
+    return clean.select("doc_id", F.md5("t").alias("clean"), F.length("t").alias("n"))
 
 
 @query()
