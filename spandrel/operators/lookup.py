@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.operators.reads import clamp
+
 #: Edge kinds that are built in (fixed values); others are written other:<tag>.
 EDGE_KINDS = ("calls", "imports", "contains", "defines", "extends", "implements", "references", "flows_to", "depends_on", "invoked_by")
 SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -75,11 +78,12 @@ def resolve_operand(nodes: DataFrame, operand: str) -> DataFrame:
 
 
 def symbol_source(nodes: DataFrame, contents: DataFrame) -> DataFrame:
-    """(symbol, source): the bytes of the span; null for a zero span or one beyond the text.
+    """(symbol, source): the bytes of the span, as they are even where it cuts a character in two;
+    null for a zero span or one beyond the text.
     ``nodes`` (symbol, start_byte, end_byte, key), ``contents`` (key, blob)."""
     raw = F.encode("blob", "UTF-8")
     ok = (F.col("end_byte") > F.col("start_byte")) & (F.col("end_byte") <= F.octet_length("blob"))
-    return nodes.join(contents, "key").select("symbol", F.when(ok, F.decode(F.substring(raw, F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")), "UTF-8")).alias("source"))
+    return nodes.join(contents, "key").select("symbol", F.when(ok, F.substring(raw, F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")).cast("string")).alias("source"))
 
 
 def git_blob_sha(c: Column | str) -> Column:
@@ -91,7 +95,10 @@ def git_blob_sha(c: Column | str) -> Column:
 def rules_recall(rules: DataFrame, facets: Mapping[str, str | None], projects: Sequence[str] = (), limit: int = 100) -> DataFrame:
     """Rules whose facets admit the query: a facet absent on either side is a wildcard; a rule with
     projects needs one of the query's. Retired ones and those with an effect are left out. By
-    severity, weight (both falling), id."""
+    severity, weight (both falling), id; a limit above the ceiling is cut to it with a warning."""
+    most, note = clamp(limit, "rules")
+    if note:
+        warnings.warn(note, stacklevel=2)
     out = rules.where(~F.coalesce("retired", F.lit(False)) & F.col("effect").isNull())
     for f, v in facets.items():
         if v is not None:
@@ -99,7 +106,7 @@ def rules_recall(rules: DataFrame, facets: Mapping[str, str | None], projects: S
     has = F.size(F.coalesce("projects", F.array())) > 0
     out = out.where(~has | F.arrays_overlap("projects", F.array(*map(F.lit, projects))) if projects else ~has)
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[F.col("severity")], F.lit(0))
-    return out.orderBy(rank.desc(), F.col("weight").desc(), "id").limit(min(limit, 500))
+    return out.orderBy(rank.desc(), F.col("weight").desc(), "id").limit(most)
 
 
 def facet_admits(facets: Column, intent: Mapping[str, str]) -> Column:

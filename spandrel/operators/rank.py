@@ -387,3 +387,37 @@ def community_summary(assignment: DataFrame, nodes: DataFrame, top: int = 3) ->
     w = Window.partitionBy("community").orderBy(F.desc("n"), "file")
     files = per.withColumn("r", F.row_number().over(w)).groupBy("community").agg(F.sum("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "file")))), lambda x: x["file"]).alias("files"))
     return files
+
+
+def singleton_rate(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
+    """One row (rate): the share of nodes in no community of two members or more; null without nodes."""
+    big = assignment.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("community")
+    covered = assignment.join(big, "community", "left_semi").select("symbol").distinct().withColumn("c", F.lit(True))
+    return nodes.select("symbol").distinct().join(covered, "symbol", "left").agg(F.round(F.count(F.when(F.col("c").isNull(), 1)) / F.nullif(F.count("*"), F.lit(0)), 6).alias("rate"))
+
+
+def package_ring(nodes: DataFrame, weight: float) -> DataFrame:
+    """(source, target, weight): edges that tie the nodes (symbol, directory) of a directory into a
+    ring, in the order of symbols; a directory of one node has none."""
+    w = Window.partitionBy("directory").orderBy("symbol")
+    whole = Window.partitionBy("directory")
+    r = nodes.where(F.col("symbol").isNotNull()).select("symbol", "directory").distinct()
+    r = r.select("symbol", F.coalesce(F.lead("symbol").over(w), F.min("symbol").over(whole)).alias("target"), F.count("*").over(whole).alias("n"))
+    return r.where(F.col("n") > 1).select(F.col("symbol").alias("source"), "target", F.lit(weight).alias("weight"))
+
+
+def community_report(assignment: DataFrame, edges: DataFrame, ranks: DataFrame, top: int = 5, kinds: Sequence[str] = ("calls", "imports")) -> DataFrame:
+    """(community, size, top, term): members, the ``top`` best-ranked of them in order, and what the
+    community adds to the modularity of the whole."""
+    a = assignment.select("symbol", "community")
+    e = _links(edges, kinds).join(a.toDF("source", "cs"), "source").join(a.toDF("target", "ct"), "target")
+    pairs = stored(e.groupBy("cs", "ct").agg(F.count("*").alias("n")))
+    m = pairs.agg(F.sum("n")).first()[0] or 0
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("cs").alias("community"), "n", F.when(F.col("cs") == F.col("ct"), F.col("n")).otherwise(0).alias("l")), F.struct(F.col("ct").alias("community"), "n", F.lit(0).cast("bigint").alias("l")))).alias("x"))
+    per = ends.groupBy("x.community").agg(F.sum("x.n").alias("d"), F.sum("x.l").alias("l"))
+    size = a.groupBy("community").agg(F.count("*").alias("size"))
+    best = top_k(a.join(ranks.select("symbol", "score"), "symbol").select(F.col("community").alias("query_id"), F.col("symbol").alias("id"), "score"), top)
+    best = best.groupBy(F.col("query_id").alias("community")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("top"))
+    share = F.coalesce("d", F.lit(0)) / (2.0 * m) if m else F.lit(0.0)
+    term = F.coalesce("l", F.lit(0)) / F.lit(float(m)) - share * share if m else F.lit(None).cast("double")
+    return size.join(per, "community", "left").join(best, "community", "left").select("community", "size", "top", term.alias("term"))

@@ -120,7 +120,7 @@ def redact_config(text: str, path: str) -> str:
     and ``key: value`` lines of the others. Other files are redacted as free text."""
     ext = path.rpartition(".")[2].lower()
     if ext == "json":
-        spans = [m.span(1) for m in re.finditer(r'"((?:[^"\\]|\\.)*)"(?!\s*:)', text)]
+        spans = [m.span(1) for m in re.finditer(r'"((?:[^"\\]|\\.)*)"(\s*:)?', text) if not m[2]]
     elif ext in ("toml", "ini", "env", "properties", "yaml", "yml", "conf", "cfg"):
         spans = []
         for m in re.finditer(r"(?m)^[ \t-]*[\"']?[\w.\-]+[\"']?[ \t]*[:=][ \t]*([^\n#]*?)[ \t]*(?:#[^\n]*)?$", text):

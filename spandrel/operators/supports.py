@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +49,28 @@ def cap_rows_to_budget(rows: DataFrame, order: list[str], budget: int = 25_000)
     return rows.withColumn("_used", F.sum(F.length(F.to_json(F.struct(*rows.columns)))).over(w)).where(F.col("_used") <= budget).drop("_used")
 
 
-def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
-    """One page with the fingerprint of all rows, so a stale cursor can be refused."""
-    digest = rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
-    return rows.orderBy(*order).offset(offset).limit(size).join(F.broadcast(digest))
+def fingerprint(rows: DataFrame, what: str = "") -> str:
+    """A hash of a question and all rows that answer it, whatever their order."""
+    digest = rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()[0]
+    return hashlib.sha1(f"{what}|{digest}".encode()).hexdigest()[:16]
+
+
+def page(rows: DataFrame, order: list[str], size: int, cursor: str | None = None, what: str = "") -> tuple[DataFrame, str | None]:
+    """One page of ``rows`` and the cursor of the next, None after the last.
+
+    A cursor holds the place and the fingerprint of the question (``what``) and all its rows. One
+    that can't be read, or whose rows have changed since, is an error and never page one again.
+    """
+    if size < 1:
+        raise ValueError("a page has a row at least")
+    offset, now = 0, fingerprint(rows, what)
+    if cursor is not None:
+        try:
+            offset, then = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+        except (ValueError, TypeError) as e:
+            raise ValueError("malformed cursor") from e
+        if type(offset) is not int or offset < 0 or then != now:
+            raise ValueError("stale cursor")
+    more = rows.count() > offset + size
+    following = base64.urlsafe_b64encode(json.dumps([offset + size, now]).encode()).decode() if more else None
+    return rows.orderBy(*order).offset(offset).limit(size), following

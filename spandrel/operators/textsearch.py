@@ -106,11 +106,11 @@ def name_suggest(nodes: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
     """(probe, symbol, name, tier, distance, rank): same name in another case (0), last segment of a
     qualified name (1), prefix (2), few edits (3); by tier, distance, name, symbol.
 
-    Tiers 0 to 2 are equi-joins; the edit tier meets names of about the same length that share
+    Probes of more than 256 characters are refused: they have no rows. Tiers 0 to 2 are equi-joins; the edit tier meets names of about the same length that share
     the first letter, a blocking key like in any dictionary.
     """
     n = nodes.where(F.col("name").isNotNull()).select("symbol", "name", F.lower("name").alias("folded")).distinct()
-    p = probes.select("probe").where(F.col("probe").isNotNull()).distinct().withColumn("f", F.lower(F.substring("probe", 1, 256)))
+    p = probes.select("probe").where(F.length("probe") <= 256).distinct().withColumn("f", F.lower("probe"))
     seg = F.element_at(F.split("f", r"[.:#/]+"), -1)
     t0 = p.join(n, F.col("f") == F.col("folded")).withColumn("tier", F.lit(0)).withColumn("distance", F.lit(0))
     t1 = p.withColumn("s", seg).where(F.col("s") != F.col("f")).join(n, F.col("s") == F.col("folded")).drop("s").withColumn("tier", F.lit(1)).withColumn("distance", F.lit(0))

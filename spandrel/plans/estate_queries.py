@@ -403,17 +403,52 @@ def consolidate(spark, d):
 
 @query()
 def keyword_candidates(spark, d):
-    """The questions of the benchmark's answers, against all documents."""
+    """Every passage of the benchmark as a question, against all documents."""
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
-    q = table(spark, d, "benchmark", "item_id", "answer").select(F.col("item_id").alias("query_id"), F.col("answer").alias("text"))
+    q = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), "text")
     return M.keyword_candidates(docs, q)
 
 
+@query()
+def knowledge_recall(spark, d):
+    """The best piece of every visible document for every passage of the benchmark."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang").withColumnRenamed("doc_id", "id")
+    q = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), "text")
+    return M.knowledge_recall(docs.select("id", "text"), q, docs.where(F.col("lang").isNotNull()))
+
+
+@query(f"""{GRAPH_SQL}, t AS (SELECT symbol FROM n WHERE kind IN ('module', 'struct')) SELECT round(count(*) FILTER (symbol NOT IN (SELECT symbol FROM t)) / count(*), 6) AS rate FROM n""")
+def singleton_rate(spark, d):
+    """Share of nodes no community of two or more covers (here: communities are two kinds)."""
+    n = graph_nodes(spark, d)
+    return K.singleton_rate(n, n.where(F.col("kind").isin("module", "struct")).select("symbol", F.col("kind").alias("community")))
+
+
+@query(f"""{GRAPH_SQL}, r AS (SELECT symbol, file, lead(symbol) OVER (PARTITION BY file ORDER BY symbol) AS nx, min(symbol) OVER (PARTITION BY file) AS lo, count(*) OVER (PARTITION BY file) AS c FROM n)
+SELECT symbol AS source, coalesce(nx, lo) AS target, 2.0::DOUBLE AS weight FROM r WHERE c > 1""")
+def package_bias(spark, d):
+    """A ring through the nodes of every directory."""
+    return K.package_ring(graph_nodes(spark, d).select("symbol", F.col("file").alias("directory")), 2.0)
+
+
+@query(f"""{GRAPH_SQL}, c AS (SELECT symbol, kind AS community, file FROM n), l AS (SELECT x.community AS a, y.community AS b FROM e JOIN c x ON x.symbol = e.source JOIN c y ON y.symbol = e.target WHERE source <> target), m AS (SELECT count(*)::DOUBLE AS m FROM l),
+g AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM l UNION ALL SELECT b FROM l) GROUP BY 1), i AS (SELECT a AS k, count(*) AS l FROM l WHERE a = b GROUP BY 1), t AS (SELECT community, symbol, row_number() OVER (PARTITION BY community ORDER BY symbol) AS r FROM c),
+s AS (SELECT community, count(*) AS size FROM c GROUP BY 1)
+SELECT s.community, size, string_agg(t.symbol, ',' ORDER BY r) AS top, round(coalesce(i.l, 0) / any_value(m) - (coalesce(d, 0) / (2 * any_value(m))) * (coalesce(d, 0) / (2 * any_value(m))), 6) AS term
+FROM s JOIN t ON t.community = s.community AND r <= 5 LEFT JOIN g ON g.k = s.community LEFT JOIN i ON i.k = s.community, m GROUP BY s.community, size, i.l, d""")
+def community_report(spark, d):
+    """Size, best-ranked five (here by a rank that falls with the symbol) and modularity term of every kind."""
+    n = graph_nodes(spark, d)
+    a = n.select("symbol", F.col("kind").alias("community"))
+    r = K.community_report(a, graph_edges(spark, d), n.select("symbol", F.lit(1.0).alias("score")))
+    return r.select("community", "size", F.array_join("top", ",").alias("top"), F.round("term", 6).alias("term"))
+
+
 @query()
 def memory_recall_gated(spark, d):
-    """Recall with scope, salience floor and budget."""
+    """Recall by every passage of the benchmark, with scope, salience floor and budget."""
     m = memories(spark, d).withColumn("facets", F.create_map().cast("map<string,string>"))
-    q = table(spark, d, "benchmark", "item_id", "answer").select(F.col("item_id").alias("query_id"), F.col("answer").alias("text"), F.lit("store:ledger-handbook").alias("scope"))
+    q = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), "text", F.lit("store:ledger-handbook").alias("scope"))
     return M.memory_recall(m, q, NOW, 600, mode="keyword", floor=0.2)
 
 

@@ -10,7 +10,6 @@ from spandrel.operators import extract as X
 from spandrel.operators import knowledge as N
 from spandrel.operators import rank as K
 from spandrel.operators import resolve as R
-from spandrel.operators import textsearch as T
 from spandrel.plans.reference_queries import _CODE, _PLAIN, _refs, _search, code_nodes
 from spandrel.sources.graph import GRAPH_SQL, graph_edges, graph_nodes
 from spandrel.sources.tables import table
@@ -170,18 +169,6 @@ def cross_graph_search(spark, d):
     return code_nodes(spark, d).where(F.col("name") == "close").groupBy(F.split_part("scope", F.lit(":"), F.lit(2)).alias("repo")).agg(F.count("*").alias("n"))
 
 
-@query()
-def knowledge_recall(spark, d):
-    """Pieces of documents by keyword, the best per document."""
-    docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
-    piece = T.chunks(docs, 120).select((F.col("id") * 100_000 + F.col("chunk")).alias("id"), "text")
-    index = T.postings(piece)
-    doc_index = T.postings(docs)
-    q = T.rarest_terms(doc_index, docs.where(F.col("id") % 50 == 0).select("id"))
-    hits = T.bm25(index, q, 32).withColumn("doc", F.floor(F.col("id") / 100_000))
-    return N.best_per_document(hits)
-
-
 @query()
 def entity_neighbours(spark, d):
     """Documents that a search reaches, with the capitalised words they share with the query's."""

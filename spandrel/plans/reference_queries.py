@@ -107,10 +107,8 @@ def symbol_source(spark, d):
     f = table(spark, d, "files").withColumn("path", plain_path("path")).where(F.col("git_sha").isNotNull())
     latest = f.groupBy("path").agg(F.max(F.struct("observed_at", "arrived_at", "obs_id", "git_sha")).alias("m")).select(F.col("path").alias("file"), F.col("m.git_sha").alias("key"))
     n = code_nodes(spark, d).select("symbol", "file", "span.start_byte", "span.end_byte").join(latest, "file")
-    ok = (F.col("end_byte") > F.col("start_byte")) & (F.col("end_byte") <= F.octet_length("blob"))
     texts = table(spark, d, "file_content").withColumnRenamed("git_sha", "key")
-    cut = F.substring(F.encode("blob", "UTF-8"), F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
-    return n.join(texts, "key").select("symbol", F.when(ok, F.md5(cut)).alias("source_md5"))
+    return L.symbol_source(n, texts).select("symbol", F.md5("source").alias("source_md5"))
 
 
 @query("SELECT git_sha, git_sha AS computed FROM file_content")

@@ -10,14 +10,71 @@ from spandrel.functions.text import plain_path
 LARGEST = 1 << 20
 
 
-def walk_source_tree(spark: SparkSession, root: str, glob: str = "*", largest: int = LARGEST) -> DataFrame:
-    """(path, size, text) of the text files under a directory: larger ones, binary ones (a zero
-    byte) and such with lines of 5 000 characters on average are left out. Sizes are checked on
-    the listing, before contents are used."""
+#: Directories no source is looked for in (fixed values).
+SKIPPED = (".git", ".hg", ".svn", "node_modules", "target", "dist", "build", "__pycache__", ".venv", "venv")
+
+
+def walk_source_tree(spark: SparkSession, root: str, glob: str = "*", largest: int = LARGEST, longest_line: int = 5_000, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(path, size, text, skipped) of the files under a directory but for those in ``skipped``
+    directories. A file that isn't read has no text and says why: ``too_large`` (judged by the
+    listing, before contents are used), ``binary`` (a zero byte) or ``minified`` (lines of
+    ``longest_line`` characters on average)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    kept = raw.where(F.col("length") <= largest).select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
-    lines = F.size(F.split("text", "\n"))
-    return kept.where(~F.col("text").contains("\x00") & (F.length("text") / lines < 5_000)).select(plain_path("path").alias("path"), "size", "text")
+    below = F.substring_index("path", root.rstrip("/") + "/", -1)
+    raw = raw.where(~F.exists(F.split(below, "/"), lambda p: p.isin(*skipped)))
+    text = F.when(F.col("length") <= largest, F.decode("content", "UTF-8"))
+    t = raw.select(plain_path("path").alias("path"), F.col("length").alias("size"), text.alias("text"))
+    why = F.when(F.col("text").isNull(), "too_large").when(F.col("text").contains("\x00"), "binary").when(F.length("text") / F.size(F.split("text", "\n")) >= longest_line, "minified")
+    t = t.withColumn("skipped", why)
+    return t.select("path", "size", F.when(F.col("skipped").isNull(), F.col("text")).alias("text"), "skipped")
+
+
+def file_digest(text: Column | str) -> Column:
+    """16 hex digits that change with a text."""
+    return F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+
+
+_EVIDENCE = "producer string, snapshot string, generation bigint, facts array<struct<fact_id:string,source:string,target:string,kind:string,file:string,line:int,col:int,confidence:double>>"
+
+
+def scan_evidence(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, refused) of evidence envelopes (text): a fact has an id, both ends and a kind, and a
+    confidence in [0, 1]; an envelope has a producer, a snapshot and distinct fact ids, and is
+    refused whole, with the reason, if anything is wrong with it."""
+    e = texts.select("text", F.from_json("text", _EVIDENCE).alias("e")).select("text", "e.*")
+    bad = F.exists("facts", lambda f: f["fact_id"].isNull() | f["source"].isNull() | f["target"].isNull() | f["kind"].isNull() | ~F.coalesce(f["confidence"].between(0, 1), F.lit(False)))
+    twice = F.size(F.array_distinct(F.transform("facts", lambda f: f["fact_id"]))) < F.size("facts")
+    why = (F.when(F.col("producer").isNull() | F.col("snapshot").isNull() | F.col("facts").isNull(), "envelope").when(bad, "fact").when(twice, "repeated"))
+    e = e.withColumn("why", why)
+    good = e.where(F.col("why").isNull()).select("producer", "snapshot", "generation", F.explode("facts").alias("f")).select("producer", "snapshot", "generation", "f.*")
+    return good, e.where(F.col("why").isNotNull()).select("text", "why")
+
+
+#: One step of a job, a rule and a fact template, as their languages write them (fixed values).
+_JCL_STEP, _JCL_DD = r"(?m)^//(\w+)[ \t]+EXEC[ \t]+(?:PGM=)?(\w+)", r"(?m)^//(?:\w+\.)?(\w+)[ \t]+DD[ \t]+[^\n]*?DSN=([\w.&()]+)"
+_DRL_RULE, _CLIPS_RULE = r'(?m)^[ \t]*rule[ \t]+(?:"([^"\n]+)"|(\w+))', r"\(defrule[ \t\n]+([^\s()]+)"
+
+
+def scan_jcl(texts: DataFrame) -> DataFrame:
+    """(file, ordinal, name, kind, target) of job control texts (file, text): steps run a program,
+    data definitions name a data set. Comment lines (``//*``) are left out."""
+    body = F.regexp_replace("text", r"(?m)^//\*[^\n]*$", "")
+    def found(p: str, kind: str) -> DataFrame:
+        z = F.arrays_zip(F.regexp_extract_all(body, F.lit(p), F.lit(1)).alias("name"), F.regexp_extract_all(body, F.lit(p), F.lit(2)).alias("target"))
+        return texts.where(F.col("text").isNotNull()).select("file", F.posexplode(z).alias("ordinal", "z")).select("file", "ordinal", "z.name", F.lit(kind).alias("kind"), "z.target")
+    return found(_JCL_STEP, "step").unionByName(found(_JCL_DD, "data"))
+
+
+def scan_rules(texts: DataFrame) -> DataFrame:
+    """(file, language, name) of rules in rule texts (file, text): Drools by ``.drl``, CLIPS by
+    ``.clp``; comments are left out."""
+    t = texts.where(F.col("text").isNotNull())
+    drl = F.regexp_replace("text", r"(?s)/\*.*?\*/|(?m)^[ \t]*(?://|#)[^\n]*$", "")
+    clp = F.regexp_replace("text", r"(?m);[^\n]*$", "")
+    z = F.arrays_zip(F.regexp_extract_all(drl, F.lit(_DRL_RULE), F.lit(1)).alias("a"), F.regexp_extract_all(drl, F.lit(_DRL_RULE), F.lit(2)).alias("b"))
+    a = t.where(F.col("file").endswith(".drl")).select("file", F.lit("drools").alias("language"), F.explode(z).alias("z")).select("file", "language", F.coalesce(F.nullif("z.a", F.lit("")), "z.b").alias("name"))
+    b = t.where(F.col("file").endswith(".clp")).select("file", F.lit("clips").alias("language"), F.explode(F.regexp_extract_all(clp, F.lit(_CLIPS_RULE), F.lit(1))).alias("name"))
+    return a.unionByName(b).distinct()
 
 
 def html_to_text(c: Column | str) -> Column:

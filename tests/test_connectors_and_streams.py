@@ -19,7 +19,7 @@ def test_tree_tfstate_cloud_and_batches(spark, tmp_path):
     (tmp_path / "t/b.bin").write_bytes(b"a\x00b")
     (tmp_path / "t/min.js").write_text("x" * 9_000)
     got = C.walk_source_tree(spark, str(tmp_path / "t"))
-    assert [r.path.rsplit("/t/", 1)[1] for r in got.collect()] == ["a/x.py"]
+    assert sorted((r.path.rsplit("/t/", 1)[1], r.text is not None, r.skipped) for r in got.collect()) == [("a/x.py", True, None), ("b.bin", False, "binary"), ("min.js", False, "minified")]
     state = json.dumps({"resources": [{"mode": "managed", "type": "b", "name": "n", "instances": [{"dependencies": ["v.w"]}]}, {"mode": "data", "type": "q", "name": "z", "instances": []}]})
     t = spark.createDataFrame([(state,), ("{",), (None,)], "text string")
     nodes, refs = C.scan_tfstate(t)
