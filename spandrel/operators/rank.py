@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.functions.lineage import broadcast_if_small, cut, discard, stored
@@ -48,12 +48,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
         share = state.where(F.col("out").isNotNull()).select(F.col("id").alias("source_id"), (F.col("rank") / F.col("out")).alias("share"))
         gained = links.join(broadcast_if_small(share, n), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("gain"))
         fresh = (1 - damping + damping * dangling) * F.col("teleport") + damping * F.coalesce("gain", F.lit(0.0))
-        now = state.join(broadcast_if_small(gained, n), "id", "left").select("id", "teleport", "out", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change"))
-        seen = Observation()  # what the next round has to know, gathered while this one is written
-        following = stored(now.observe(seen, held, F.sum("change").alias("change")).drop("change"))
+        following = stored(state.join(broadcast_if_small(gained, n), "id", "left").select("id", "teleport", "out", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change")))
         discard(state)
-        state, dangling = following, seen.get["dangling"]
-        if seen.get["change"] < epsilon:
+        state = following
+        dangling, change = state.agg(held, F.sum("change")).first()
+        if change < epsilon:
             break
     links.unpersist()
     return numbered.join(state, "id").select("symbol", F.col("rank").alias("score"))
@@ -93,10 +92,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        seen = Observation()  # a fingerprint of the edges, taken while they are written
-        following = stored(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        following = stored(small)
         discard(e)
-        e, now = following, (seen.get["n"], seen.get["sum"])
+        e = following
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())  # a fingerprint of the edges
         if now == last or not now[0]:
             break
         last = now
